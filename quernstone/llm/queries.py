@@ -10,6 +10,7 @@ from quernstone.llm.common import table
 from quernstone.llm.mixing import ORACLE as MIX_SQL
 from quernstone.llm.mixing import mix
 from quernstone.llm.pii import digest
+from quernstone.llm.quality import quality
 from quernstone.llm.simhash import simhash
 
 
@@ -17,6 +18,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash(table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
 
@@ -27,6 +32,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_quality": op2_quality,
     "op9_pii": op9_pii,
     "op10_mix": op10_mix,
 }
