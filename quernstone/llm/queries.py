@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quernstone.llm.common import table
+from quernstone.llm.decontaminate import ORACLE as DECONTAMINATE_SQL
+from quernstone.llm.decontaminate import report
 from quernstone.llm.mixing import ORACLE as MIX_SQL
 from quernstone.llm.mixing import mix
 from quernstone.llm.pii import digest
@@ -22,6 +24,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
 
@@ -33,10 +39,12 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
+    "op3_decontaminate": op3_decontaminate,
     "op9_pii": op9_pii,
     "op10_mix": op10_mix,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_decontaminate": DECONTAMINATE_SQL,
     "op10_mix": MIX_SQL,
 }
