@@ -14,6 +14,8 @@ from quernstone.llm.mixing import mix
 from quernstone.llm.pii import digest
 from quernstone.llm.quality import quality
 from quernstone.llm.simhash import simhash
+from quernstone.llm.topk import ORACLE as TOPK_SQL
+from quernstone.llm.topk import topk
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +30,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk(table(spark, sf_dir, "embeddings"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
 
@@ -40,11 +46,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
     "op3_decontaminate": op3_decontaminate,
+    "op4_topk": op4_topk,
     "op9_pii": op9_pii,
     "op10_mix": op10_mix,
 }
 
 ORACLES: dict[str, str] = {
     "op3_decontaminate": DECONTAMINATE_SQL,
+    "op4_topk": TOPK_SQL,
     "op10_mix": MIX_SQL,
 }
