@@ -13,6 +13,7 @@ from quernstone.llm.mixing import ORACLE as MIX_SQL
 from quernstone.llm.mixing import mix
 from quernstone.llm.pii import digest
 from quernstone.llm.quality import quality
+from quernstone.llm.repeats import cut
 from quernstone.llm.simhash import simhash
 from quernstone.llm.topk import ORACLE as TOPK_SQL
 from quernstone.llm.topk import topk
@@ -34,6 +35,10 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk(table(spark, sf_dir, "embeddings"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
 
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_decontaminate": op3_decontaminate,
     "op4_topk": op4_topk,
+    "op7_repeats": op7_repeats,
     "op9_pii": op9_pii,
     "op10_mix": op10_mix,
 }
