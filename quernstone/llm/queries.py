@@ -11,6 +11,7 @@ from quernstone.llm.decontaminate import ORACLE as DECONTAMINATE_SQL
 from quernstone.llm.decontaminate import report
 from quernstone.llm.mixing import ORACLE as MIX_SQL
 from quernstone.llm.mixing import mix
+from quernstone.llm.passages import passages
 from quernstone.llm.pii import digest
 from quernstone.llm.quality import quality
 from quernstone.llm.repeats import cut
@@ -35,6 +36,10 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk(table(spark, sf_dir, "embeddings"))
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages(table(spark, sf_dir, "documents"))
+
+
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_decontaminate": op3_decontaminate,
     "op4_topk": op4_topk,
+    "op6_passages": op6_passages,
     "op7_repeats": op7_repeats,
     "op9_pii": op9_pii,
     "op10_mix": op10_mix,
