@@ -18,6 +18,7 @@ from quernstone.llm.repeats import cut
 from quernstone.llm.simhash import simhash
 from quernstone.llm.topk import ORACLE as TOPK_SQL
 from quernstone.llm.topk import topk
+from quernstone.llm.toxicity import toxicity
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +37,10 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk(table(spark, sf_dir, "embeddings"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages(table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_decontaminate": op3_decontaminate,
     "op4_topk": op4_topk,
+    "op5_toxicity": op5_toxicity,
     "op6_passages": op6_passages,
     "op7_repeats": op7_repeats,
     "op9_pii": op9_pii,
