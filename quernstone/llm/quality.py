@@ -147,7 +147,7 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality") -> Model |
                 total[:, size] += x.T @ b.column(0).to_numpy()
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
 
-    parts = ridge.repartition(PARTS, "doc_id").sortWithinPartitions("doc_id", "y", "stats").select("y", "stats").mapInArrow(partial, "part binary").collect()
+    parts = ridge.coalesce(PARTS).sortWithinPartitions("doc_id", "y", "stats").select("y", "stats").mapInArrow(partial, "part binary").collect()
     size = len(model.beta)
     total = np.sum([np.frombuffer(p[0]).reshape(size, size + 1) for p in sorted(parts)], axis=0)
     model.beta = np.linalg.solve(total[:, :size] + RIDGE * moments[0] * np.eye(size), total[:, size])

@@ -27,6 +27,8 @@ SEED = 42
 PIECE = 16_384
 #: Fingerprints in a tile of the exact comparison.
 TILE = 256
+#: Rows of one block value are dealt into sqrt(rows) / SPREAD parts.
+SPREAD = 16
 
 
 def fingerprint(text: str | None, shingle: int = 4, words64: int = 1) -> list[int]:
@@ -114,7 +116,7 @@ def links(nodes: DataFrame, radius: int = 4, blocks: int = 5, words64: int = 1)
     """(u, v) links that connect what lies within ``radius`` bits; nodes: (fp, node), one row for each fingerprint.
 
     With more blocks than differing bits, two linked fingerprints agree on a block (blocks: of each 64 bits): only rows
-    with an equal block are compared. A block value with n rows is dealt into about sqrt(n)/8 parts, and each pair of parts is a task's
+    with an equal block are compared. A block value with n rows is dealt into about sqrt(n)/SPREAD parts, and each pair of parts is a task's
     row of its own, so that neither a common value nor a large group meets in one place. From a pair of parts
     comes a spanning forest, never all its pairs.
     """
@@ -125,9 +127,11 @@ def links(nodes: DataFrame, radius: int = 4, blocks: int = 5, words64: int = 1)
         for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))
     ]
     rows = nodes.where("node is not null").select("fp", "node", F.explode(F.array(*value)).alias("k")).select("fp", "node", "k.block", "k.value")
-    parts = durable(rows.groupBy("block", "value").agg(F.ceil(F.sqrt(F.count("*")) / 8).cast("int").alias("parts")))
+    # most values have few rows and aren't listed: the list is short, and Spark broadcasts it only if it is small
+    parts = durable(rows.groupBy("block", "value").agg(F.ceil(F.sqrt(F.count("*")) / SPREAD).cast("int").alias("parts")).where("parts > 1"))
     dealt = (
-        rows.join(parts, ["block", "value"])
+        rows.join(parts, ["block", "value"], "left")
+        .withColumn("parts", F.coalesce("parts", F.lit(1)))
         .withColumn("p", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
         .withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .withColumns({"i": F.least("p", "q"), "j": F.greatest("p", "q")})
