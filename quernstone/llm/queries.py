@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quernstone.llm.common import table
 from quernstone.llm.decontaminate import ORACLE as DECONTAMINATE_SQL
 from quernstone.llm.decontaminate import report
+from quernstone.llm.language import languages
 from quernstone.llm.mixing import ORACLE as MIX_SQL
 from quernstone.llm.mixing import mix
 from quernstone.llm.passages import passages
@@ -49,6 +50,10 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_passages": op6_passages,
     "op7_repeats": op7_repeats,
+    "op8_language": op8_language,
     "op9_pii": op9_pii,
     "op10_mix": op10_mix,
 }
