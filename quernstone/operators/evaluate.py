@@ -1,0 +1,181 @@
+"""Measures of runs against golden cases, and the gates that they have to pass."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def first_places(run: DataFrame) -> DataFrame:
+    """case_id, document_id, rank: each document once, at its first place; places are counted anew."""
+    first = run.groupBy("case_id", "document_id").agg(F.min("rank").alias("_r"))
+    return first.select("case_id", "document_id", F.row_number().over(Window.partitionBy("case_id").orderBy("_r", "document_id")).alias("rank"))
+
+
+def case_metrics(cases: DataFrame, run: DataFrame, k: int = 10) -> DataFrame:
+    """case_id, recall, reciprocal_rank, ndcg, zero_results, unauthorized of each case.
+
+    cases: (case_id, expected array, forbidden array). Without expected documents recall and ndcg are 1, and the reciprocal rank
+    is 1 if there are no results.
+    """
+    places = first_places(run)
+    got = places.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("rank", "document_id"))).alias("hits"))
+    j = cases.join(got, "case_id", "left").withColumn("hits", F.coalesce("hits", F.filter(F.array(F.struct(F.lit(0).alias("rank"), F.element_at("expected", 1).alias("document_id"))), lambda _: F.lit(False))))
+    top = F.filter("hits", lambda h: h["rank"] <= k)
+    n = F.size("expected")
+    right = F.filter("hits", lambda h: F.array_contains("expected", h["document_id"]))
+    first = F.array_min(F.transform(right, lambda h: h["rank"]))
+    gain = F.aggregate(F.filter(top, lambda h: F.array_contains("expected", h["document_id"])), F.lit(0.0), lambda s, h: s + 1.0 / F.log2(h["rank"] + F.lit(1.0)))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least(n, F.lit(k))), F.lit(0.0), lambda s, r: s + 1.0 / F.log2(r + F.lit(1.0)))
+    recall = F.size(F.array_intersect(F.transform(top, lambda h: h["document_id"]), F.col("expected"))) / F.nullif(n, F.lit(0))
+    return j.select(
+        "case_id",
+        F.when(n == 0, 1.0).otherwise(recall).alias("recall"),
+        F.when(n == 0, F.when(F.size("hits") == 0, 1.0).otherwise(0.0)).otherwise(F.coalesce(1.0 / first, F.lit(0.0))).alias("reciprocal_rank"),
+        F.when(n == 0, 1.0).otherwise(gain / ideal).alias("ndcg"),
+        (F.size("hits") == 0).alias("zero_results"),
+        F.size(F.array_intersect(F.transform("hits", lambda h: h["document_id"]), F.col("forbidden"))).alias("unauthorized"),
+    )
+
+
+def rollup(metrics: DataFrame, by: str, digits: int = 6) -> DataFrame:
+    """Means of all cases and of each category in one pass; the row of all has a null category. Nulls are skipped."""
+    means = [F.round(F.avg(c), digits).alias(c) for c in ("recall", "reciprocal_rank", "ndcg")]
+    return metrics.rollup(by).agg(F.count("*").alias("cases"), *means, F.round(F.avg(F.col("zero_results").cast("int")), digits).alias("zero_result_rate"), F.sum("unauthorized").alias("unauthorized"))
+
+
+def latencies(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """by, p50, p95, max with linear interpolation."""
+    return rows.groupBy(by).agg(*[F.round(F.coalesce(F.percentile(value, p), F.lit(0.0)), 6).alias(f"p{int(p * 100)}") for p in (0.5, 0.95)], F.max(value).alias("max"))
+
+
+def promotion(variants: DataFrame, baseline: str, candidate: str) -> DataFrame:
+    """gate, passed for each gate, and promote: one of the two recall gains and all others must pass.
+
+    variants: (variant, recall, semantic_recall, exact_recall, unauthorized, p95_ms, stale_warning_rate, failed, reviewed).
+    """
+    b, c = (variants.where(F.col("variant") == v).select(*[F.col(x).alias(f"{p}_{x}") for x in variants.columns if x != "variant"]) for p, v in (("b", baseline), ("c", candidate)))
+    # one row each
+    j = b.crossJoin(c)
+    gain = {x: F.col(f"c_{x}") - F.col(f"b_{x}") for x in ("recall", "semantic_recall", "exact_recall")}
+    gates = {
+        "overall_recall_improvement": gain["recall"] >= 0.03,
+        "semantic_recall_improvement": gain["semantic_recall"] >= 0.10,
+        "semantic_regression": gain["semantic_recall"] >= -0.01,
+        "exact_regression": gain["exact_recall"] >= -0.01,
+        "unauthorized_results": F.col("c_unauthorized") == 0,
+        "latency_p95_ms": F.col("c_p95_ms") <= 2000.0,
+        "stale_warning_rate": F.coalesce(F.col("c_stale_warning_rate") == 1.0, F.lit(False)),
+        "failed_cases": F.col("c_failed") == 0,
+        "reviewed_dataset": F.col("c_reviewed"),
+    }
+    better = gates["overall_recall_improvement"] | gates["semantic_recall_improvement"]
+    must = None
+    for name, g in gates.items():
+        if not name.endswith("_improvement"):
+            must = g if must is None else must & g
+    rows = F.array(*[F.struct(F.lit(n).alias("gate"), g.alias("passed")) for n, g in gates.items()], F.struct(F.lit("promote").alias("gate"), (better & must).alias("passed")))
+    return j.select(F.explode(rows).alias("g")).select("g.gate", "g.passed")
+
+
+def precision_recall(actual: Column, expected: Column) -> tuple[Column, Column]:
+    """Of two sets: nothing found is right if nothing was expected, and nothing expected is always recalled."""
+    both = F.size(F.array_intersect(actual, expected))
+    precision = F.when(F.size(actual) > 0, both / F.size(actual)).otherwise(F.when(F.size(expected) == 0, 1.0).otherwise(0.0))
+    recall = F.when(F.size(expected) > 0, both / F.size(expected)).otherwise(1.0)
+    return precision, recall
+
+
+def answer_metrics(claims: DataFrame, cases: DataFrame) -> DataFrame:
+    """case_id, groundedness, claim_precision, completeness, citation_precision, citation_recall, refusal, unsupported.
+
+    claims: (case_id, expected_claim, supported, evidence_ids array); cases: (case_id, expected_claims, expected_evidence, expected_refusal, refused).
+    """
+    by_case = claims.groupBy("case_id").agg(
+        F.count("*").alias("n"),
+        F.count_if("supported").alias("n_supported"),
+        F.collect_set(F.when(F.col("supported"), F.col("expected_claim"))).alias("matched"),
+        F.array_distinct(F.flatten(F.collect_list("evidence_ids"))).alias("cited"),
+    )
+    j = cases.join(by_case, "case_id", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "n_supported": F.coalesce("n_supported", F.lit(0))})
+    j = j.withColumns({"matched": F.coalesce("matched", F.array().cast("array<string>")), "cited": F.coalesce("cited", F.array().cast("array<string>"))})
+    precision, recall = precision_recall(F.col("cited"), F.col("expected_evidence"))
+    m, e = F.size("matched"), F.size("expected_claims")
+    return j.select(
+        "case_id",
+        F.when(F.col("n") > 0, F.col("n_supported") / F.col("n")).alias("groundedness"),
+        F.when(F.col("n") > 0, m / F.col("n")).otherwise(F.when(e == 0, 1.0).otherwise(0.0)).alias("claim_precision"),
+        F.when(e > 0, m / e).otherwise(F.when(m == 0, 1.0).otherwise(0.0)).alias("completeness"),
+        precision.alias("citation_precision"),
+        recall.alias("citation_recall"),
+        (F.col("expected_refusal") == F.col("refused")).cast("double").alias("refusal"),
+        (F.col("n") - F.col("n_supported")).alias("unsupported"),
+    )
+
+
+#: The order of egress denials.
+DENIALS = (
+    "no_evidence",
+    "policy_disabled",
+    "missing_provider",
+    "missing_classification",
+    "invalid_local_endpoint",
+    "remote_egress_disabled",
+    "missing_secret_reference",
+    "missing_retention_policy",
+    "retention_not_allowed",
+    "classification_not_allowed",
+)
+
+
+def egress(requests: DataFrame, evidence: DataFrame) -> DataFrame:
+    """request_id, denial (null: allowed), allowed_ids, denied_ids.
+
+    requests: (request_id, enabled, provider, loopback, allow_remote, has_secret, retention, allowed array); evidence: (request_id, evidence_id,
+    classification). The first denial that applies counts; an unknown classification is denied.
+    """
+    e = evidence.groupBy("request_id").agg(
+        F.array_sort(F.collect_list(F.struct("evidence_id", F.col("classification").alias("k")))).alias("items"),
+        F.count_if(F.col("classification").isNull()).alias("unknown"),
+        F.count_if(F.col("classification") != "public").alias("closed"),
+    )
+    j = requests.join(e, "request_id", "left")
+
+    def within(x: Column) -> Column:
+        return F.coalesce(F.array_contains("allowed", x["k"]), F.lit(False))
+
+    good, bad = (F.transform(F.filter("items", f), lambda x: x["evidence_id"]) for f in (within, lambda x: ~within(x)))
+    local = F.col("provider") == "local"
+    denial = (
+        F.when(F.col("items").isNull(), "no_evidence")
+        .when(~F.col("enabled"), "policy_disabled")
+        .when(F.col("provider").isNull(), "missing_provider")
+        .when(F.col("unknown") > 0, "missing_classification")
+        .when(local & ~F.col("loopback"), "invalid_local_endpoint")
+        .when(local, F.lit(None).cast("string"))
+        .when(~F.col("allow_remote"), "remote_egress_disabled")
+        .when(~F.col("has_secret"), "missing_secret_reference")
+        .when(F.col("retention").isNull(), "missing_retention_policy")
+        .when((F.col("closed") > 0) & (F.col("retention") != "zero_retention"), "retention_not_allowed")
+        .when(F.size(bad) > 0, "classification_not_allowed")
+    )
+    out = j.withColumn("denial", denial)
+    every, none = F.transform("items", lambda x: x["evidence_id"]), F.array().cast("array<bigint>")
+    partly = F.col("denial") == "classification_not_allowed"
+    return out.select(
+        "request_id",
+        "denial",
+        F.when(F.col("denial").isNull(), every).when(partly, good).otherwise(none).alias("allowed_ids"),
+        F.when(F.col("denial").isNull(), none).when(partly, bad).otherwise(F.coalesce(every, none)).alias("denied_ids"),
+    )
+
+
+#: Kinds of question of the portable suite.
+QUESTION_KINDS = ("exact_identifier", "natural_language", "terse", "code_switch", "typo_noise")
+
+
+def portable_cases(documents: DataFrame) -> DataFrame:
+    """case_id, document_id, kind, question, denied: a case of each kind for each document, and one that access is denied."""
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"questions.{k}").alias("question"), F.lit(False).alias("denied")) for k in QUESTION_KINDS], F.struct(F.lit("acl_denied").alias("kind"), F.col("questions.natural_language").alias("question"), F.lit(True).alias("denied")))
+    each = documents.select(F.col("id").alias("doc"), "document_id", F.explode(kinds).alias("k"))
+    return each.select(F.concat_ws("-", "doc", "k.kind").alias("case_id"), "document_id", "k.kind", "k.question", "k.denied")

@@ -1,11 +1,8 @@
-"""Queries by name, and the SQL that each is held against."""
+"""All queries by name, and the SQL that each is held against."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from quernstone.plans import search  # noqa: F401
+from quernstone.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "bm25_topk"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
