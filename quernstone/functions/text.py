@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Token patterns that results depend on.
 ANALYZER_TOKEN = r"[0-9A-Za-z가-힣_./:@+-]+"
@@ -35,13 +36,13 @@ def collapse(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(c(text), r"\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_text(text: pd.Series) -> pd.Series:
     """NFKC with NUL as a blank and white space collapsed. Spark has no NFKC of its own: an Arrow batch at a time."""
     return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t.replace("\x00", " ")).split()))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_name(text: pd.Series) -> pd.Series:
     """NFKC, collapsed and case-folded: the form that entity names are compared in."""
     return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()).casefold())
