@@ -20,7 +20,7 @@ def case_metrics(cases: DataFrame, run: DataFrame, k: int = 10) -> DataFrame:
     """
     places = first_places(run)
     got = places.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("rank", "document_id"))).alias("hits"))
-    j = cases.join(got, "case_id", "left").withColumn("hits", F.coalesce("hits", F.filter(F.array(F.struct(F.lit(0).alias("rank"), F.element_at("expected", 1).alias("document_id"))), lambda _: F.lit(False))))
+    j = cases.join(got, "case_id", "left").withColumn("hits", F.coalesce("hits", F.filter(F.array(F.struct(F.lit(0).alias("rank"), F.get("expected", 0).alias("document_id"))), lambda _: F.lit(False))))
     top = F.filter("hits", lambda h: h["rank"] <= k)
     n = F.size("expected")
     right = F.filter("hits", lambda h: F.array_contains("expected", h["document_id"]))
