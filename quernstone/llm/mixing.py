@@ -9,9 +9,9 @@ part, so that a source's taken words are its target to less than one word.
 The seeded order is found without sorting a source: sums over 256 ranges of the order's hash, then over 256 ranges of
 the one in which the target falls, and only the documents of one range of those are put in order.
 
-Defined cases: a null text has size 0; a null source is a source of its own, last in the order of sources; a null
-doc_id takes its place in the order by the hash of a fixed text; rows alike in doc_id and size are interchangeable; a
-source whose documents are all empty has target 0; an empty table gives an empty result. Columns besides doc_id, text and
+Defined cases: a null text has size 0; a null source is a source of its own, last in the order of sources; a row without
+doc_id takes its place in the order by its text; rows alike in doc_id and size are interchangeable, of which some are
+taken and some not; a source whose documents are all empty has target 0; an empty table gives an empty result. Columns besides doc_id, text and
 source are not read, so their names cannot clash.
 """
 
@@ -59,7 +59,7 @@ def _cut(docs: DataFrame, aims: DataFrame, key: str) -> DataFrame:
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, epochs: float = 2.0, seed: int = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken of each row of ``docs`` (doc_id, text, source)."""
-    at = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    at = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))))
     rows = durable(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), at.alias("at")))
     rows = rows.withColumns({"r1": F.substring("at", 1, 2), "r2": F.substring("at", 3, 2)})
     aimed = durable(
@@ -67,29 +67,28 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
         .withColumn("epoch", F.when(F.col("source_size") > 0, F.floor(F.round(F.col("target") / F.col("source_size"), 9))).otherwise(F.lit(0)).cast("long"))
         .withColumn("aim", F.greatest(F.lit(0), F.round(F.col("target") - F.col("epoch") * F.col("source_size"))).cast("long"))
     )
-    aims = aimed.select("source", "aim")
-    one = durable(_cut(rows, aims, "r1"))
-    inside = rows.join(one.withColumnsRenamed({"source": "s1", "r1": "x1"}), F.col("source").eqNullSafe(F.col("s1")) & (F.col("r1") == F.col("x1"))).select("source", "r2", "size", "at", "doc_id")
-    two = durable(_cut(inside, one.select("source", "aim"), "r2"))
-    last = Window.partitionBy("source").orderBy("at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    final = (
-        inside.join(two.withColumnsRenamed({"source": "s2", "r2": "x2"}), F.col("source").eqNullSafe(F.col("s2")) & (F.col("r2") == F.col("x2")))
-        .withColumn("before", F.coalesce(F.sum("size").over(last), F.lit(0)))
-        .where("before <= aim and aim < before + size")
-        .select("source", F.col("at").alias("cut_at"), F.col("doc_id").alias("cut_id"), F.col("size").alias("cut_size"), (F.col("aim") - F.col("before")).alias("cut_part"))
-    )
-    plan = durable(aimed.join(final.withColumnRenamed("source", "s3"), F.col("source").eqNullSafe(F.col("s3")), "left").drop("s3").withColumnRenamed("source", "s4"))
-    mine, cut = F.struct("at", "doc_id", "size"), F.struct(F.col("cut_at").alias("at"), F.col("cut_id").alias("doc_id"), F.col("cut_size").alias("size"))
-    # without a cut the aim is 0: nothing more is taken
-    extra = F.when(F.col("cut_at").isNull(), F.lit(0)).when(mine < cut, F.col("size")).when(mine.eqNullSafe(cut), F.col("cut_part")).otherwise(F.lit(0))
-    return rows.join(plan, F.col("source").eqNullSafe(F.col("s4"))).select("doc_id", "size", "source_size", "target", (F.col("epoch") * F.col("size") + extra).cast("long").alias("taken"))
+    one = durable(_cut(rows, aimed.select("source", "aim"), "r1"))
+    inside = rows.join(one.withColumnsRenamed({"source": "s1", "r1": "x1"}), F.col("source").eqNullSafe(F.col("s1")) & (F.col("r1") == F.col("x1"))).select("source", "r2", "size")
+    two = _cut(inside, one.select("source", "aim"), "r2")
+    edges = one.withColumnRenamed("r1", "x1").drop("aim").join(two.withColumnsRenamed({"source": "s2", "r2": "x2", "aim": "rest"}), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
+    plan = durable(aimed.join(edges.withColumnRenamed("source", "s3"), F.col("source").eqNullSafe(F.col("s3")), "left").drop("s3").withColumnRenamed("source", "s4"))
+    planned = rows.join(plan, F.col("source").eqNullSafe(F.col("s4")))
+    # whole documents below the range in which the aim ends, none above it; without such a range all or none
+    place, edge = F.struct("r1", "r2"), F.struct(F.col("x1").alias("r1"), F.col("x2").alias("r2"))
+    on_edge = F.coalesce(place == edge, F.lit(False))
+    whole = F.when(F.col("x2").isNull(), F.col("aim") > 0).otherwise(place < edge)
+    away = planned.where(~on_edge).withColumn("extra", F.when(whole, F.col("size")).otherwise(F.lit(0)))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = planned.where(on_edge).withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - before)))
+    taken = (F.col("epoch") * F.col("size") + F.col("extra")).cast("long")
+    return away.unionByName(within).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
 #: The same mix in DuckDB; it sorts each source, which a single small machine may.
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS at_hash
+         md5('17:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS at_hash
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
