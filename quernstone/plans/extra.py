@@ -47,7 +47,9 @@ def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions as a stream gives them out: those that the watermark has closed. An extension."""
     source = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
     name = f"sessions_{uuid.uuid4().hex}"
-    q = events.sessions(source, "user_id").writeStream.format("memory").queryName(name).outputMode("append").start()
+    writer = events.sessions(source, "user_id").writeStream.format("memory").queryName(name).outputMode("append")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    q = (writer.option("checkpointLocation", f"{shared.rstrip('/')}/{name}") if shared else writer).start()
     q.processAllAvailable()
     q.stop()
     return spark.table(name)
