@@ -15,6 +15,7 @@ from quernstone.llm.mixing import mix
 from quernstone.llm.passages import passages
 from quernstone.llm.pii import digest
 from quernstone.llm.quality import quality
+from quernstone.llm.repeats import ORACLE as REPEATS_SQL
 from quernstone.llm.repeats import cut
 from quernstone.llm.simhash import simhash
 from quernstone.llm.topk import ORACLE as TOPK_SQL
@@ -78,5 +79,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op3_decontaminate": DECONTAMINATE_SQL,
     "op4_topk": TOPK_SQL,
+    "op7_repeats": REPEATS_SQL,
     "op10_mix": MIX_SQL,
 }

@@ -220,3 +220,17 @@ def cut(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
     joined = keyed.join(spans, "k", "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+
+#: The same in DuckDB, by a hash of every window; fine for small tables.
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+m AS MATERIALIZED (SELECT r, i, hash(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT r, h, unnest(range(0, len(h) // 2 - 199)) AS i FROM d WHERE len(h) >= 400)),
+s AS (SELECT r, i FROM m SEMI JOIN (SELECT k FROM m GROUP BY k HAVING count(*) > 1) g USING (k)),
+b AS (SELECT r, i, CASE WHEN i > lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 1 ELSE 0 END AS new FROM s),
+p AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS n FROM b),
+c AS (SELECT r, n, min(i) AS a, max(i) + 200 AS z FROM p GROUP BY r, n),
+l AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM c),
+k AS (SELECT r, count(*) AS n_spans, CAST(sum(z - a) AS BIGINT) AS n_removed, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept, max(z) AS tail FROM l JOIN d USING (r) GROUP BY r)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept || substr(h, 2 * tail + 1), h))) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+"""
