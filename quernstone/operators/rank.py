@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
+from quernstone.operators.blocks import meet
 
 MISSING = 10**9
 
@@ -74,7 +75,7 @@ def resolve(queries: DataFrame, aliases: DataFrame) -> DataFrame:
 def resolve_all(queries: DataFrame, aliases: DataFrame) -> DataFrame:
     """As ``resolve``, by comparing each query of the stated set with every alias."""
     known = aliases.where("alias <> ''").select("entity_id", F.lower("alias").alias("alias"))
-    return _resolved(known.join(queries.select("query_id", F.lower("query").alias("q")), F.contains("q", "alias")))
+    return _resolved(meet(known, queries.select("query_id", F.lower("query").alias("q")), "alias", F.contains("q", "alias")))
 
 
 def _resolved(pairs: DataFrame) -> DataFrame:

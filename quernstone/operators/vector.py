@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.operators.blocks import meet
 from quernstone.operators.lexical import ranked
 
 
@@ -29,7 +30,7 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_
     """
     rows = vectors.select(key, "embedding", norm(F.col("embedding")).alias("_n"))
     asked = queries.select("query_id", "q", norm(F.col("q")).alias("_m"))
-    pairs = rows.join(asked, F.size("embedding") == F.size("q"))
+    pairs = meet(rows, asked, key, F.size("embedding") == F.size("q"))
     score = F.when(F.col("_n") * F.col("_m") == 0, 0.0).otherwise(dot(F.col("embedding"), F.col("q")) / (F.col("_n") * F.col("_m")))
     return ranked(pairs.select("query_id", key, F.round(score, 6).alias("score")), k, key)
 

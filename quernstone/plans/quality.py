@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
 from quernstone.operators import answer, evaluate, lexical
+from quernstone.operators.blocks import meet
 from quernstone.plans.registry import ASKED, UNITS, asked, query, table, units
 from quernstone.plans.search import BM25_SQL
 
@@ -112,9 +113,8 @@ h AS (SELECT item_id, doc_id, n, count(*) AS c FROM e JOIN documents ON contains
 SELECT item_id, count(*) AS relevant FROM h WHERE c >= least(2, n) GROUP BY item_id""")
 def keyword_relevance_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = asked(spark, sf_dir, 4).where("query_id < 20").select(F.col("query_id").alias("item_id"), T.keywords("query").alias("w"))
-    # a stated set of twenty queries against all documents
-    d = table(spark, sf_dir, "documents").select(F.lower("text").alias("body"))
-    hits = d.join(F.broadcast(q), F.size(F.filter("w", lambda w: F.contains(F.col("body"), w))) >= F.least(F.lit(2), F.size("w")))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("body"))
+    hits = meet(d, q, "doc_id", F.size(F.filter("w", lambda w: F.contains(F.col("body"), w))) >= F.least(F.lit(2), F.size("w")))
     return hits.groupBy("item_id").agg(F.count("*").alias("relevant"))
 
 

@@ -232,3 +232,46 @@ def test_latest_with_ties(spark):
     rows = [(1, dt.datetime(2024, 1, 1), 5, "a"), (1, dt.datetime(2024, 1, 1), 6, "b"), (2, None, 1, "c")]
     got = {r[0]: r[1] for r in ingest.latest(spark.createDataFrame(rows, "k int, at timestamp, tie int, v string"), "k", "at", "tie", "v").collect()}
     assert got == {1: "b", 2: "c"}
+
+
+def test_large_query_sets_meet_rows_in_blocks(spark, monkeypatch):
+    from quernstone.operators import blocks
+
+    e = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(60)], "vec_id int, embedding array<float>")
+    q = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(9)], "query_id int, q array<float>")
+    key = lambda r: (r["query_id"], r["rank"])
+    want = sorted(vector.cosine_topk(e, q, 4).collect(), key=key)
+    monkeypatch.setattr(blocks, "BOUND", 3)
+    assert sorted(vector.cosine_topk(e, q, 4).collect(), key=key) == want
+
+
+def test_aliases_looked_up_by_word_or_compared(spark):
+    q = spark.createDataFrame([(1, "Orders of Acme Corp"), (2, "xacme corp")], "query_id int, query string")
+    a = spark.createDataFrame([(7, "acme corp"), (8, "corp"), (9, "")], "entity_id int, alias string")
+    found = lambda f: {(r["query_id"], r["entity_id"]): (r["position"], r["longest"]) for r in f(q, a).collect()}
+    assert found(rank.resolve) == {(1, 7): (11, 9), (1, 8): (16, 4), (2, 8): (7, 4)}
+    assert found(rank.resolve_all) == {(1, 7): (11, 9), (1, 8): (16, 4), (2, 7): (2, 9), (2, 8): (7, 4)}
+
+
+def test_context_keeps_fully_accepted_paths(spark):
+    from quernstone.operators import records
+
+    p = spark.createDataFrame([("a", "b", ["1", "2"]), ("a", "c", ["2", "3"]), ("a", "d", ["2", "4"])], "start_id string, end_id string, edge_ids array<string>")
+    e = spark.createDataFrame([(1, "accepted", True), (2, "accepted", True), (3, "proposed", True), (4, "accepted", None)], "id int, status string, fresh boolean")
+    assert [r["end_id"] for r in records.context_paths(p, e).collect()] == ["b"]
+
+
+def test_search_modes(spark):
+    from quernstone.operators.search import Search
+
+    u = spark.createDataFrame([(1, 1, "red apple"), (2, 1, "green pear"), (3, 2, "red pear")], "unit_id int, document_id int, body string")
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0])], "vec_id int, embedding array<float>")
+    q = spark.createDataFrame([(1, "red", [0.0, 1.0]), (2, "pear", None), (3, "?!", [1.0, 0.0])], "query_id int, query string, q array<float>")
+    rows = Search(u, v).run(q).collect()
+    assert {(r["query_id"], r["degraded"]) for r in rows} == {(1, False), (2, True)} and {r["mode"] for r in rows} == {"hybrid"}
+    assert {r["mode"] for r in Search(u).run(q).collect()} == {"lexical"}
+    assert Search(u, v).run(q, mode="reranked").count() == Search(u, v).run(q, mode="hybrid").count()
+    with pytest.raises(ValueError):
+        Search(u).run(q, mode="vector")
+    with pytest.raises(ValueError):
+        Search(u).run(q, limit=0)
