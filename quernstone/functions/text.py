@@ -125,7 +125,8 @@ def trigram_similarity(a: Column | str, b: Column | str) -> Column:
 
 def occurrences(text: Column, term: Column) -> Column:
     """How often a term occurs without overlap; an empty term never."""
-    return F.when(F.length(term) > 0, (F.length(text) - F.length(F.replace(text, term, F.lit("")))) / F.length(term)).otherwise(0).cast("int")
+    size = F.octet_length
+    return F.when(size(term) > 0, (size(text) - size(F.replace(text, term, F.lit("")))) / size(term)).otherwise(0).cast("int")
 
 
 def snippet(body: Column | str, terms: Column, width: int = 360) -> Column:

@@ -89,8 +89,7 @@ sc AS (SELECT query_id, unit_id, CASE WHEN contains(first(hay), first(q)) THEN 1
 @query(f"WITH {SEEN}, {ASKED}, {LEXICAL_SQL}, r AS (SELECT query_id, unit_id, round(CAST(score AS DOUBLE), 6) AS score FROM sc) SELECT query_id, unit_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS INT) AS rank FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) <= 10")
 def lexical_score_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = _seen(spark, sf_dir).select("unit_id", F.lit("").alias("title"), "body", F.concat(F.lit("doc"), "unit_id", F.lit(".txt")).alias("file_name"))
-    found = lexical.lexical_topk(u, asked(spark, sf_dir), 10**6).withColumn("score", F.round("score", 6)).drop("rank")
-    return lexical.ranked(found, 10, "unit_id")
+    return lexical.lexical_topk(u, asked(spark, sf_dir), 10)
 
 
 TRIGRAM_SQL = r"""list_distinct(flatten(list_transform(list_filter(string_split_regex(lower({x}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"""
