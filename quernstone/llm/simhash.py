@@ -1,8 +1,8 @@
 """SimHash near-duplicates: fingerprints of whole texts, linked by tiled exact comparison.
 
 A fingerprint has 64 bits, or a multiple: each further 64 come from the same shingles hashed with the next seed. With as
-many blocks as differing bits or fewer, the comparison is no longer complete: 256 bits in 24 blocks and 46 bits of
-difference find texts that share 0.8 of their shingles with a probability of about 0.9, closer ones nearly always.
+many blocks as differing bits or fewer, the comparison is no longer complete: 256 bits in 24 blocks and 50 bits of
+difference find texts that share 0.8 of their shingles with a probability of about 0.95, closer ones nearly always.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint zero and links like any other; fewer
 words than a shingle give one shingle of them all; repeated rows keep a row each; a row without doc_id has a

@@ -110,6 +110,6 @@ def test_more_bits_find_near_copies(spark):
         for k in rnd.sample(range(300), 5):
             near[k] = "changed"
         rows += [(2 * i, " ".join(b), "", 0), (2 * i + 1, " ".join(near), "", 0)]
-    got = {r["doc_id"]: r["component_id"] for r in simhash(spark.createDataFrame(rows, S), shingle=5, radius=46, blocks=6, words64=4).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash(spark.createDataFrame(rows, S), shingle=5, radius=50, blocks=6, words64=4).collect()}
     right = sum(got[2 * i + 1] == 2 * i for i in range(40))
     assert right >= 36 and all(got[2 * i] == 2 * i for i in range(40))
