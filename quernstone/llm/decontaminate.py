@@ -80,8 +80,8 @@ def report(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, share: flo
 def clean(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, share: float = SHARE) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no item."""
     k1, k2 = _key()
-    bad = durable(contaminated(docs, items, shingle, share).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct())
-    return docs.join(bad, (k1 == F.col("_k1")) & (k2 == F.col("_k2")), "left_anti")
+    bad = durable(contaminated(docs, items, shingle, share).select(F.col("k1").alias("__hit_k1"), F.col("k2").alias("__hit_k2")).distinct())
+    return docs.join(bad, (k1 == F.col("__hit_k1")) & (k2 == F.col("__hit_k2")), "left_anti")
 
 
 ORACLE = r"""
