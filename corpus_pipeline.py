@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from quernstone.llm.common import durable, table
 from quernstone.llm.decontaminate import clean
 from quernstone.llm.mixing import mix
+from quernstone.llm.near_copies import near_copies, row_key
 from quernstone.llm.pii import annotate
 from quernstone.llm.quality import quality
-from quernstone.llm.simhash import simhash
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,12 +26,14 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near copies: fingerprints of 256 bits over shingles of five words, see simhash. Documents without doc_id stay."""
-    groups = simhash(docs, shingle=5, radius=50, blocks=6, words64=4)
-    each = durable(groups.where("doc_id is not null").groupBy(F.col("doc_id").alias("__near_id")).agg(F.max(F.col("doc_id") != F.col("component_id")).alias("__extra")))
-    # one exchange of the texts, by doc_id, at every size; rows that repeat a doc_id lie side by side after it, and one stays
-    known = docs.where("doc_id is not null")
-    kept = known.join(each.where("not __extra").hint("merge"), F.col("doc_id") == F.col("__near_id")).drop("__near_id", "__extra").dropDuplicates(["doc_id"])
+    """The document of the smallest doc_id of each group of near copies: 0.8 of the shingles of five words, see near_copies. Documents without doc_id stay."""
+    groups = near_copies(docs)
+    # rows of one doc_id with different texts are judged apart
+    first = durable(groups.groupBy("root").agg(F.min(F.struct("doc_id", "k")).alias("e")).select(F.col("e.doc_id").alias("__near_id"), F.col("e.k").alias("__near_k")))
+    # one exchange of the texts at every size; rows that repeat a doc_id and text lie side by side after it, and one stays
+    known = docs.where("doc_id is not null").withColumn("__own_k", row_key())
+    same = (F.col("doc_id") == F.col("__near_id")) & (F.col("__own_k") == F.col("__near_k"))
+    kept = known.join(first.hint("merge"), same).drop("__near_id", "__near_k").dropDuplicates(["doc_id", "__own_k"]).drop("__own_k")
     return kept.unionByName(docs.where("doc_id is null"))
 
 

@@ -113,3 +113,44 @@ def test_more_bits_find_near_copies(spark):
     got = {r["doc_id"]: r["component_id"] for r in simhash(spark.createDataFrame(rows, S), shingle=5, radius=50, blocks=6, words64=4).collect()}
     right = sum(got[2 * i + 1] == 2 * i for i in range(40))
     assert right >= 36 and all(got[2 * i] == 2 * i for i in range(40))
+
+
+def shingles_of(text):
+    w = (text or "").lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_pipeline_stage_against_brute_force(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(8)
+    word = lambda: f"w{rnd.randrange(10**5)}"
+    rows = [(None, "no id", "", 0), (900, "", "", 0), (901, None, "", 0), (902, "a b", "", 0), (903, "A  b", "", 0)]
+    for i in range(80):
+        base = [word() for _ in range(rnd.randint(5, 300))]
+        rows.append((10 * i, " ".join(base), "", 0))
+        for c in range(1, 4):
+            # edits around the limit: each changes up to five shingles; copies of copies make chains
+            own = list(base)
+            for k in rnd.sample(range(len(own)), max(1, int(len(own) * rnd.choice([0.01, 0.02, 0.025, 0.03, 0.045])))):
+                own[k] = word()
+            rows.append((10 * i + c, " ".join(own), "", 0))
+            base = own if rnd.random() < 0.3 else base
+    rows += [(0, " ".join(word() for _ in range(50)), "", 0), rows[5]]  # doc_id 0 again with a text of its own, and as it is
+    sets = [shingles_of(t) for _, t, *_ in rows]
+    root = list(range(len(rows)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    between = 0
+    for i in range(1, len(rows)):
+        for j in range(1, i):
+            both = len(sets[i] & sets[j])
+            all_ = len(sets[i] | sets[j])
+            between += 0.6 <= (both / all_ if all_ else 1) < 0.8
+            if (both / all_ if all_ else 1) >= 0.8:
+                root[find(i)] = find(j)
+    groups = {}
+    for i in range(1, len(rows)):
+        groups.setdefault(find(i), []).append(rows[i][:2])
+    want = sorted([min(g, key=lambda r: r[0])[0] for g in groups.values()])
+    got = [r["doc_id"] for r in corpus_pipeline.single(spark, spark.createDataFrame(rows, S).repartition(3), "").collect()]
+    assert between > 20 and sorted(x for x in got if x is not None) == want and got.count(None) == 1
