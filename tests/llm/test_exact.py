@@ -138,6 +138,33 @@ def test_chains_follow_order_and_gaps():
     assert passages.agreeing(np.array([1, 2, 3]), np.array([1, 2, 4, 5])) == 2
 
 
+def test_a_long_segment_far_away_hides_no_neighbour():
+    assert [1, 2] in passages.chains([[0, 500, 0, 500, 60], [600, 630, 600, 630, 3], [632, 662, 632, 662, 3]])
+    rnd = random.Random(6)
+    for _ in range(300):
+        segs = sorted([d, d + n, r, r + n, 2] for d, r, n in ((rnd.randrange(300), rnd.randrange(300), rnd.randint(8, 60)) for _ in range(rnd.randint(2, 14))))
+        score = []
+        for d0, d1, r0, _, _ in segs:
+            near = [score[j] - passages.GAP_COST * (d0 - s[1] + r0 - s[3]) for j, s in enumerate(segs[: len(score)]) if 0 <= d0 - s[1] <= passages.MAX_GAP and 0 <= r0 - s[3] <= passages.MAX_GAP]
+            score.append(d1 - d0 + max([0.0, *near]))
+        best = passages.chains(segs)[0]
+        own = [segs[i] for i in best]
+        total = sum(s[1] - s[0] for s in own) - sum(passages.GAP_COST * (y[0] - x[1] + y[2] - x[3]) for x, y in zip(own, own[1:]))
+        assert abs(total - max(score)) < 1e-6
+
+
+def test_words_between_seeds_are_compared(spark):
+    # four seeds of 8 words, 16 words apart: what lies between isn't taken for alike
+    m = [(x, x) for x in (0, 24, 48, 72)]
+    pairs = spark.createDataFrame([(1, 2, m)], "k long, rk long, m array<struct<at:int,rat:int>>")
+    (c,) = passages._chained(pairs).collect()
+    assert c["sure"] == 0 and (2, 0, 80, 0, 80) in [tuple(g) for g in c["gaps"]]
+    a, b = np.arange(80, dtype=np.uint64), np.arange(80, dtype=np.uint64)
+    b[[k for k in range(80) if k % 24 >= 8]] += np.uint64(1000)
+    gaps = spark.createDataFrame([(1, 2, bytearray(a.tobytes()), bytearray(b.tobytes()))], "chain long, side int, dw binary, rw binary")
+    assert passages._aligned(gaps).first()["same"] == 32
+
+
 def test_passages(spark):
     rnd = random.Random(5)
     shared = words(rnd, 80, 10**6)
