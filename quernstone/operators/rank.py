@@ -85,7 +85,7 @@ def _resolved(pairs: DataFrame) -> DataFrame:
 
 def expand(queries: DataFrame, aliases: DataFrame, names: DataFrame) -> DataFrame:
     """query_id, expansions: names (entity_id, name) of entities in the query that it doesn't spell out, by place."""
-    found = resolve(queries, aliases).join(names, "entity_id").join(queries.select("query_id", F.lower("query").alias("q")), "query_id")
+    found = resolve_all(queries, aliases).join(names, "entity_id").join(queries.select("query_id", F.lower("query").alias("q")), "query_id")
     fresh = found.where(~F.contains("q", F.lower("name")))
     ordered = F.array_sort(F.collect_list(F.struct("position", (-F.col("longest")).alias("n"), "entity_id", "name")))
     lists = fresh.groupBy("query_id").agg(F.transform(ordered, lambda x: x["name"]).alias("expansions"))

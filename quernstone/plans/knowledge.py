@@ -74,12 +74,12 @@ def graph_paths_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
 a AS (SELECT 'nation:' || n_nationkey AS entity_id, n_name AS alias FROM nation UNION ALL SELECT 'segment:' || c_mktsegment, c_mktsegment FROM (SELECT DISTINCT c_mktsegment FROM customer))
 SELECT query_id, entity_id, CAST(min(instr(lower(query), lower(alias))) AS INT) AS position, CAST(max(length(alias)) AS INT) AS longest FROM q, a WHERE contains(lower(query), lower(alias)) GROUP BY query_id, entity_id""")
 def entity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quernstone.operators.rank import resolve
+    from quernstone.operators.rank import resolve_all
 
     n, c = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
     q = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("query_id"), F.concat(F.lit("orders of "), "n_name", F.lit(" for "), "c_mktsegment").alias("query"))
     a = n.select(F.concat(F.lit("nation:"), "n_nationkey").alias("entity_id"), F.col("n_name").alias("alias"))
-    return resolve(q, a.unionByName(c.select(F.concat(F.lit("segment:"), "c_mktsegment").alias("entity_id"), F.col("c_mktsegment").alias("alias")).distinct()))
+    return resolve_all(q, a.unionByName(c.select(F.concat(F.lit("segment:"), "c_mktsegment").alias("entity_id"), F.col("c_mktsegment").alias("alias")).distinct()))
 
 
 CLAIMS = "k AS (SELECT o_orderkey AS id, o_custkey AS subject_id, 'has_status' AS predicate, o_orderstatus AS object_id, o_orderdate AS valid_from, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderdate + INTERVAL 60 DAY END AS valid_to FROM orders)"

@@ -253,6 +253,14 @@ def test_aliases_looked_up_by_word_or_compared(spark):
     assert found(rank.resolve_all) == {(1, 7): (11, 9), (1, 8): (16, 4), (2, 7): (2, 9), (2, 8): (7, 4)}
 
 
+def test_expansion_meets_aliases_that_begin_or_end_inside_words(spark):
+    q = spark.createDataFrame([(1, "Frances wines"), (2, "서울에서 온 편지"), (3, "xacme corp"), (4, "c++ code")], "query_id int, query string")
+    a = spark.createDataFrame([(1, "France"), (2, "서울"), (3, "acme"), (4, "++")], "entity_id int, alias string")
+    n = spark.createDataFrame([(1, "Gaul"), (2, "Seoul"), (3, "Acme Inc"), (4, "plus")], "entity_id int, name string")
+    got = {r["query_id"]: r["expansions"] for r in rank.expand(q, a, n).collect()}
+    assert got == {1: ["Gaul"], 2: ["Seoul"], 3: ["Acme Inc"], 4: ["plus"]}
+
+
 def test_context_keeps_fully_accepted_paths(spark):
     from quernstone.operators import records
 
