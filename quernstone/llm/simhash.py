@@ -1,13 +1,13 @@
 """SimHash near-duplicates: fingerprints of whole texts, linked by tiled exact comparison.
 
-A fingerprint has 64 bits, or a multiple: each further 64 come from the same shingles hashed with the next seed. With as
-many blocks as differing bits or fewer, the comparison is no longer complete: 256 bits in 24 blocks and 50 bits of
-difference find texts that share 0.8 of their shingles with a probability of about 0.95, closer ones nearly always.
+Distinct fingerprints are compared tile by tile: exclusive or and bit counts in numpy, tile pairs whose population counts differ beyond the
+radius being skipped. Only fingerprints with an equal block of bits share tiles; with more blocks than differing bits every link has one, so
+the comparison stays exact. Links join fingerprints, not rows, and a component is named by the least doc_id of all its rows.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint zero and links like any other; fewer
 words than a shingle give one shingle of them all; repeated rows keep a row each; a row without doc_id has a
-fingerprint, and the component of documents with the very same fingerprint if there are any (else null). An empty
-table gives an empty result. Other columns are not read, so their names cannot clash.
+fingerprint, links and bridges like any other, and gets its component's least doc_id (null if no row of it has one); very long texts are read
+in pieces. An empty table gives an empty result. Other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -31,38 +31,37 @@ TILE = 256
 SPREAD = 16
 
 
-def fingerprint(text: str | None, shingle: int = 4, words64: int = 1) -> list[int]:
-    """The SimHash of a whole text, as signed 64-bit words."""
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    """The SimHash of a whole text, as a signed 64-bit word."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII spaces only
     if not words:
-        return [0] * words64
+        return 0
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - shingle + 1)
     a, b = starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    counts = np.zeros(64 * words64, np.int64)
+    counts = np.zeros(64, np.int64)
     for k in range(0, n, PIECE):
         spans = list(zip(a[k : k + PIECE], b[k : k + PIECE], strict=True))
-        h = np.array([digest(joined[x:y], SEED + w) for x, y in spans for w in range(words64)], np.uint64)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8 * words64), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = np.packbits(2 * counts > n, bitorder="little")
-    return bits.view(np.int64).tolist()
+        h = np.array([digest(joined[x:y], SEED) for x, y in spans], np.uint64)
+        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, words64: int = 1) -> DataFrame:
-    """(doc_id, fp) of each row, fp as an array of signed longs."""
+def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
+    """(doc_id, fp) of each row, fp as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(t.as_py(), shingle, words64) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "fp"])
+            fps = [fingerprint(t.as_py(), shingle) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _close(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def close(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of the rows of a and b (of a itself without b) that differ in radius bits or fewer, tile by tile."""
     own = b is None
     b = a if own else b
@@ -112,21 +111,22 @@ def forest(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, n
     return sorted_ids[moved], sorted_ids[lab[moved]]
 
 
-def links(nodes: DataFrame, radius: int = 4, blocks: int = 5, words64: int = 1) -> DataFrame:
-    """(u, v) links that connect what lies within ``radius`` bits; nodes: (fp, node), one row for each fingerprint.
+def links(fps: DataFrame, radius: int = 4, blocks: int = 5) -> DataFrame:
+    """(u, v) links that connect what lies within ``radius`` bits; fps: distinct fingerprints ``fp``, longs.
 
-    With more blocks than differing bits, two linked fingerprints agree on a block (blocks: of each 64 bits): only rows
-    with an equal block are compared. A block value with n rows is dealt into about sqrt(n)/SPREAD parts, and each pair of parts is a task's
+    With more blocks than differing bits, two linked fingerprints agree on a block: only those
+    with an equal block are compared. A block value with n of them is dealt into about sqrt(n)/SPREAD parts, and each pair of parts is a task's
     row of its own, so that neither a common value nor a large group meets in one place. From a pair of parts
     comes a spanning forest, never all its pairs.
     """
+    if blocks <= radius:
+        raise ValueError("links are complete only with more blocks than differing bits")
     edges = [64 * k // blocks for k in range(blocks + 1)]
     value = [
-        F.struct(F.lit(w * blocks + k).alias("block"), F.shiftrightunsigned(F.col("fp")[w], lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("value"))
-        for w in range(words64)
+        F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("value"))
         for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))
     ]
-    rows = nodes.where("node is not null").select("fp", "node", F.explode(F.array(*value)).alias("k")).select("fp", "node", "k.block", "k.value")
+    rows = fps.select("fp", F.explode(F.array(*value)).alias("k")).select("fp", "k.block", "k.value")
     # most values have few rows and aren't listed: the list is short, and Spark broadcasts it only if it is small
     parts = durable(rows.groupBy("block", "value").agg(F.ceil(F.sqrt(F.count("*")) / SPREAD).cast("int").alias("parts")).where("parts > 1"))
     dealt = (
@@ -136,33 +136,20 @@ def links(nodes: DataFrame, radius: int = 4, blocks: int = 5, words64: int = 1)
         .withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .withColumns({"i": F.least("p", "q"), "j": F.greatest("p", "q")})
     )
-    row = F.struct("fp", "node")
-    tiles = dealt.groupBy("block", "value", "i", "j").agg(F.collect_list(F.when(F.col("p") == F.col("i"), row)).alias("a"), F.collect_list(F.when(F.col("p") != F.col("i"), row)).alias("b"))
+    own = F.col("p") == F.col("i")
+    tiles = dealt.groupBy("block", "value", "i", "j").agg(F.collect_list(F.when(own, F.col("fp"))).alias("a"), F.collect_list(F.when(~own, F.col("fp"))).alias("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flat(col):
-            at = col.offsets.to_numpy()
-            v = col.values
-            return at, v.field("fp").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, words64), v.field("node").to_numpy(zero_copy_only=False)
-
         for batch in batches:
-            at, fa, na = flat(batch.column(0))
-            bt, fb, nb = flat(batch.column(1))
+            (at, na), (bt, nb) = ((c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)) for c in batch.columns)
             us, vs = [], []
             for k in range(batch.num_rows):
-                a, b = slice(at[k], at[k + 1]), slice(bt[k], bt[k + 1])
-                la, lb = a.stop - a.start, b.stop - b.start
-                if lb == 0:
-                    if la < 2:
-                        continue
-                    i, j = _close(fa[a], None, radius)
-                    ids = na[a]
-                else:
-                    i, j = _close(fa[a], fb[b], radius)
-                    j = j + la
-                    ids = np.concatenate((na[a], nb[b]))
+                a, b = na[at[k] : at[k + 1]], nb[bt[k] : bt[k + 1]]
+                if len(b) == 0 and len(a) < 2:
+                    continue
+                i, j = close(a.view(np.uint64)[:, None], b.view(np.uint64)[:, None] if len(b) else None, radius)
                 if len(i):
-                    u, v = forest(ids, i, j)
+                    u, v = forest(np.concatenate((a, b)), i, j + len(a) * (len(b) > 0))
                     us.append(u)
                     vs.append(v)
             if us:
@@ -171,10 +158,12 @@ def links(nodes: DataFrame, radius: int = 4, blocks: int = 5, words64: int = 1)
     return tiles.select("a", "b").mapInArrow(run, "u long, v long")
 
 
-def simhash(docs: DataFrame, shingle: int = 4, radius: int = 4, blocks: int = 5, words64: int = 1) -> DataFrame:
+def simhash(docs: DataFrame, shingle: int = 4, radius: int = 4, blocks: int = 5) -> DataFrame:
     """doc_id, fingerprint, component_id of each row of ``docs`` (doc_id, text)."""
-    marked = durable(fingerprints(docs, shingle, words64))
-    nodes = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    roots = connected(links(nodes, radius, blocks, words64))
-    classes = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return marked.join(classes, "fp").select("doc_id", F.concat(*[hex64(F.col("fp")[w]) for w in range(words64)]).alias("fingerprint"), "component_id")
+    marked = durable(fingerprints(docs, shingle))
+    nodes = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = connected(links(nodes.select("fp"), radius, blocks))
+    classes = durable(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    named = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_fp = classes.join(named, "root").select("fp", "component_id")
+    return marked.join(by_fp, "fp").select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
