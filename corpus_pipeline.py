@@ -18,7 +18,11 @@ from quernstone.llm.quality import quality
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps. Those without doc_id can't be looked up and stay."""
+    """Documents that the quality classifier keeps.
+
+    Those without doc_id can't be looked up and stay; rows that share a doc_id stay if one of them is kept; null and empty texts are scored
+    like any other; without labels of both kinds all stay; an empty table gives none. Names of other columns can't clash with helpers.
+    """
     scored = quality(docs, table(spark, sf_dir, "labels"))
     # rows that share a doc_id go together, by the best of them
     bad = durable(scored.where("doc_id is not null").groupBy(F.col("doc_id").alias("__bad_id")).agg(F.max("predicted").alias("__kept")).where("__kept = 0").select("__bad_id"))
@@ -26,7 +30,11 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near copies: 0.8 of the shingles of five words, see near_copies. Documents without doc_id stay."""
+    """The document of the smallest doc_id of each group of SimHash near-duplicates, verified at 0.8 of the shingles of five words, see near_copies.
+
+    Texts without words, null ones among them, are one group; of rows alike in doc_id and text one stays; rows of one doc_id with different
+    texts are judged apart; documents without doc_id stay; an empty table gives none. Names of other columns can't clash with helpers.
+    """
     groups = near_copies(docs)
     # rows of one doc_id with different texts are judged apart
     first = durable(groups.groupBy("root").agg(F.min(F.struct("doc_id", "k")).alias("e")).select(F.col("e.doc_id").alias("__near_id"), F.col("e.k").alias("__near_k")))
@@ -38,18 +46,30 @@ def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts hold none; documents without doc_id are judged like others; rows alike are judged alike, and those that share a
+    doc_id by their own texts; without items all stay; an empty table gives none. Names of other columns can't clash with helpers.
+    """
     return clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with [KIND] for each piece of personal data."""
+    """Documents with [KIND] for each piece of personal data, and n_chars of the new text.
+
+    Null texts stay null, with n_chars 0 as for empty ones; every row is kept, repeated ones and those without doc_id too; long texts are
+    read whole; an empty table gives none. A column named pii, in any case of letters, keeps its name and content.
+    """
     hidden = annotate(docs, redact=True)
-    return hidden.select(*[F.length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    return hidden.select(*[F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes: doc_id, size, source_size, target and taken words (repeats counted) of documents with any."""
+    """What the mix takes: doc_id, size, source_size, target and taken words (repeats counted) of documents with any.
+
+    Null and empty texts have size 0 and aren't taken; a null source is one of its own; rows alike are interchangeable; an empty table gives
+    none. Other columns aren't read, so their names can't clash.
+    """
     return mix(docs).where("taken > 0")
 
 
