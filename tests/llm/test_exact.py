@@ -22,9 +22,9 @@ def words(rnd, n, size=400):
     return [f"w{rnd.randrange(size)}" for _ in range(n)]
 
 
-def shingle_set(text):
+def shingle_set(text, m=5):
     w = [x for x in re.sub(r"[^a-z0-9]+", " ", (text or "").lower()).strip().split(" ") if x]
-    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    return {" ".join(w[i : i + m]) for i in range(max(1, len(w) - m + 1))} if w else set()
 
 
 def test_decontaminate_against_sets(spark):
@@ -45,14 +45,28 @@ def test_decontaminate_against_sets(spark):
     assert len(got) == len(rows)
     texts = {i: t for i, t, _ in rows}
     for r in got:
-        d = shingle_set(texts[r["doc_id"]])
-        want = sorted(i for i, t in items if i is not None and (s := shingle_set(t)) and len(s & d) >= 0.8 * len(s) - 1e-9)
+        # an item of fewer words than five is sought at its own length
+        want = []
+        for i, t in items:
+            m = min(5, len((t or "").split()))
+            s = shingle_set(t)
+            if i is not None and s and len(s & shingle_set(texts[r["doc_id"]], m)) >= 0.8 * len(s) - 1e-9:
+                want.append(i)
+        want.sort()
         assert r["item_ids"] == want and r["contaminated"] == bool(want), r["doc_id"]
     kept = decontaminate.clean(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
     assert kept.columns == DOC.replace(" long", "").replace(" string", "").replace(" int", "").split(", ")
     assert kept.count() == sum(not r["contaminated"] for r in got)
 
 
+def test_short_items_in_long_texts(spark):
+    items = spark.createDataFrame([(1, "The secret answer is"), (2, "forty two"), (3, "is"), (4, "secret the answer is")], "item_id long, text string")
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, "we know that the secret, ANSWER is surely not out there now", "s"), (2, long + " the secret answer is", "s"), (3, "two forty", "s"), (4, "forty-two", "s")]
+    got = {r["doc_id"]: r["item_ids"] for r in decontaminate.report(docs(spark, rows), items).collect()}
+    assert got == {1: [1, 3], 2: [1, 3], 3: [], 4: [2]}
+
+
 def test_decontaminate_without_rows(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     d = docs(spark, [(1, "a b c d e f", "s")])
@@ -84,12 +98,27 @@ def test_topk_against_all_pairs(spark):
 def test_topk_of_few_and_of_none(spark):
     s = "vec_id long, embedding array<float>"
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1e30, -1e30])]
-    got = [(r["query_id"], r["rank"], r["vec_id"]) for r in topk.topk(spark.createDataFrame([*rows, rows[0]], s)).orderBy("rank").collect()]
-    assert got == [(0, 1, 2), (0, 2, 1)]
+    # the query again is still itself; another row again is a candidate again
+    got = [(r["query_id"], r["rank"], r["vec_id"]) for r in topk.topk(spark.createDataFrame([*rows, rows[0], rows[1]], s)).orderBy("rank").collect()]
+    assert got == [(0, 1, 2), (0, 2, 1), (0, 3, 1)]
+    empty = topk.topk(spark.createDataFrame([(0, []), (3, []), (2, []), (50, None)], s)).orderBy("rank").collect()
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in empty] == [(0, 2, 0), (0, 3, 0)]
     assert topk.topk(spark.createDataFrame([], s)).count() == 0
     assert topk.topk(spark.createDataFrame([(0, [1.0])], s)).count() == 0
 
 
+def test_tight_groups_go_to_few_cells(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 1, (12, 24))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    x = np.concatenate([c + rng.normal(0, 0.01, (60, 24)) for c in centres])
+    rows = [(i, [float(v) for v in r.astype(np.float32)]) for i, r in enumerate(x[rng.permutation(len(x))])]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert topk.copies(e, every=10) < 6  # of 12 cells and more
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.topk(e).collect())
+    assert got == nearest(rows)
+
+
 def cut_plainly(texts, depth=200):
     raws = [(t or "").encode() for t in texts]
     seen = collections.Counter(r[i : i + depth] for r in raws for i in range(len(r) - depth + 1))
@@ -135,7 +164,6 @@ def test_chains_follow_order_and_gaps():
     best = passages.chains(segs)
     assert best[0] == [0, 1, 3] and [2] in best
     assert passages.common_words(np.array([1, 2, 3, 4]), np.array([2, 9, 4])) == 2
-    assert passages.agreeing(np.array([1, 2, 3]), np.array([1, 2, 4, 5])) == 2
 
 
 def test_a_long_segment_far_away_hides_no_neighbour():
@@ -153,16 +181,120 @@ def test_a_long_segment_far_away_hides_no_neighbour():
         assert abs(total - max(score)) < 1e-6
 
 
-def test_words_between_seeds_are_compared(spark):
+def test_words_between_seeds_are_compared():
     # four seeds of 8 words, 16 words apart: what lies between isn't taken for alike
-    m = [(x, x) for x in (0, 24, 48, 72)]
-    pairs = spark.createDataFrame([(1, 2, m)], "k long, rk long, m array<struct<at:int,rat:int>>")
-    (c,) = passages._chained(pairs).collect()
-    assert c["sure"] == 0 and (2, 0, 80, 0, 80) in [tuple(g) for g in c["gaps"]]
-    a, b = np.arange(80, dtype=np.uint64), np.arange(80, dtype=np.uint64)
-    b[[k for k in range(80) if k % 24 >= 8]] += np.uint64(1000)
-    gaps = spark.createDataFrame([(1, 2, bytearray(a.tobytes()), bytearray(b.tobytes()))], "chain long, side int, dw binary, rw binary")
-    assert passages._aligned(gaps).first()["same"] == 32
+    a, b = np.arange(80), np.arange(80)
+    b[[k for k in range(80) if k % 24 >= 8]] += 1000
+    out, same = passages.aligned([a], [b], [[[0, 80, 0, 80, 4]]])
+    assert not out.any() and same[0] == 32
+
+
+def test_ends_are_drawn_out_over_words_that_differ():
+    a = np.arange(100)
+    b = a.copy()
+    b[[10, 20, 27, 71, 75]] += 500
+    b[:5] += 500
+    out, same = passages.aligned([a], [b], [[[40, 60, 40, 60, 3]]])
+    assert (out[:, 0].tolist(), same[0]) == ([35, 40, 35, 40], 95 - 5)
+    # the beginning of a text is no match
+    out, _ = passages.aligned([a[:60]], [a[10:60]], [[[40, 60, 30, 50, 3]]])
+    assert out[:, 0].tolist() == [30, 0, 30, 0]
+    # three words that only one side has
+    out, same = passages.aligned([np.concatenate((a[:70], a[:3], a[70:]))], [a], [[[40, 60, 40, 60, 3]]])
+    assert (out[:, 0].tolist(), same[0]) == ([40, 43, 40, 40], 100)
+
+
+def longest_passage(a, b):
+    """By the plain rule: the best local alignment's span, 1 for a word that agrees, -2 for others and gaps."""
+    best, spans = 0, 0
+    h = np.zeros((len(a) + 1, len(b) + 1), int)
+    start = {}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d, u, v = h[i - 1, j - 1] + (1 if a[i - 1] == b[j - 1] else -2), h[i - 1, j] - 2, h[i, j - 1] - 2
+            h[i, j] = max(0, d, u, v)
+            if h[i, j]:
+                start[i, j] = start.get({d: (i - 1, j - 1), u: (i - 1, j), v: (i, j - 1)}[h[i, j]], (i - 1, j - 1))
+            if h[i, j] > best:
+                best, spans = h[i, j], i - start[i, j][0]
+    return spans
+
+
+def found_alone(a, b):
+    (ha, aa), (hb, bb) = passages.seeds(a.view(np.uint64)), passages.seeds(b.view(np.uint64))
+    at = dict(zip(ha.tolist(), aa.tolist(), strict=True))
+    m = np.array([(at[h], i) for h, i in zip(hb.tolist(), bb.tolist(), strict=True) if h in at]).reshape(-1, 2)
+    segs = passages.segments(m[:, 0], m[:, 1]) if len(m) else []
+    for chain in passages.chains(segs) if segs else []:
+        own = [segs[i] for i in chain]
+        if sum(s[4] for s in own) > 1:
+            x, y = max(0, own[0][0] - passages.FLANK), max(0, own[0][2] - passages.FLANK)
+            out, same = passages.aligned([a[x : own[-1][1] + passages.FLANK]], [b[y : own[-1][3] + passages.FLANK]], [[[s[0] - x, s[1] - x, s[2] - y, s[3] - y, s[4]] for s in own]])
+            n = own[-1][1] - own[0][0] + out[0, 0] + out[1, 0]
+            if n >= passages.MIN_WORDS and same[0] / n >= passages.IDENTITY:
+                return True
+    return False
+
+
+@pytest.mark.parametrize(("n", "edits", "least"), [(60, 0.0, 0.98), (60, 0.05, 0.95), (60, 0.1, 0.85), (100, 0.1, 0.97), (100, 0.15, 0.9), (200, 0.1, 0.98), (200, 0.15, 0.95)])
+def test_recall_of_edited_passages(n, edits, least):
+    rng = np.random.default_rng(n)
+    new = lambda k: rng.integers(1, 2**62, k)
+    got = tried = 0
+    for _ in range(150):
+        p = new(n)
+        q = p.copy()
+        at = rng.choice(n, int(n * edits), replace=False)
+        q[at] = new(len(at))
+        if edits and rng.random() < 0.3:
+            k = int(rng.integers(15, n - 15))
+            q = np.concatenate((q[:k], new(2), q[k:]))  # two words put in
+        tried += 1
+        got += found_alone(np.concatenate((new(70), p, new(70))), np.concatenate((new(70), q, new(70))))
+    assert got >= least * tried, got / tried
+
+
+def test_found_passages_against_a_plain_alignment(spark):
+    rnd = random.Random(7)
+    shared = [words(rnd, rnd.randint(30, 120), 10**6) for _ in range(6)]
+    rows = []
+    for i in range(24):
+        own = list(rnd.choice(shared))
+        for k in rnd.sample(range(len(own)), int(len(own) * rnd.choice([0, 0.03, 0.08]))):
+            own[k] = f"e{i}x{k}"
+        rows.append((i, " ".join(words(rnd, rnd.randint(5, 40), 10**6) + own + words(rnd, rnd.randint(5, 40), 10**6)), "s"))
+    pairs = {(r["doc_id"], r["other_doc_id"]) for r in passages.passages(docs(spark, rows)).collect()}
+    h = [passages.word_hashes(t) for _, t, _ in rows]
+    spans = {(i, j): longest_passage(h[i].tolist(), h[j].tolist()) for i in range(24) for j in range(i)}
+    # what is reported is there, either way round, and every document that shares a passage clearly over the limit has a partner
+    assert all((j, i) in pairs and spans[max(i, j), min(i, j)] >= 45 for i, j in pairs)
+    sure = {x for (i, j), n in spans.items() if n >= 56 for x in (i, j)}
+    assert sure and sure <= {i for i, _ in pairs}
+
+
+def test_passages_of_frequent_parts_are_found(spark):
+    # A and B share 60 words, whose halves also stand alone in many other documents
+    rnd = random.Random(9)
+    left, right = words(rnd, 30, 10**6), words(rnd, 30, 10**6)
+    rows = [(i, " ".join(words(rnd, 60, 10**6) + (left if i % 2 else right) + words(rnd, 60, 10**6)), "s") for i in range(6)]
+    rows += [(i, " ".join(words(rnd, 40, 10**6) + left + right + words(rnd, 40, 10**6)), "s") for i in range(100, 120)]
+    got = {r["doc_id"] for r in passages.passages(docs(spark, rows)).collect()}
+    assert got == set(range(100, 120))
+
+
+def test_very_common_seeds_go_to_buckets(spark, monkeypatch):
+    monkeypatch.setattr(passages, "BUCKET", 10)
+    monkeypatch.setattr(passages, "RANGES", 3)
+    rnd = random.Random(10)
+    shared = words(rnd, 70, 10**6)
+    rows = [(i, " ".join(words(rnd, 20, 10**6) + shared + words(rnd, 20, 10**6)), "s") for i in range(90)]
+    got = passages.passages(docs(spark, rows)).toPandas()
+    assert set(got.doc_id) == set(range(90)) and len(got) <= 90 * 6
+    root = list(range(90))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for i, j in zip(got.doc_id, got.other_doc_id, strict=True):
+        root[find(i)] = find(j)
+    assert len({find(i) for i in range(90)}) == 1
 
 
 def test_passages(spark):
@@ -175,8 +307,7 @@ def test_passages(spark):
     rows += [(100, " ".join(words(rnd, 60, 10**6) + shared + words(rnd, 60, 10**6)), "s"), (101, " ".join(words(rnd, 40, 10**6) + [w.upper() for w in shared]), "s"), (102, " ".join(fuzzy_copy + words(rnd, 9, 10**6)), "s")]
     rows += [(None, " ".join(shared), "s"), (103, None, "s"), (104, "", "s"), (105, "the " * 3000, "s"), (rows[0][0], rows[0][1], "s")]
     got = passages.passages(docs(spark, rows)).collect()
-    found = {r["doc_id"] for r in got} | {r["source_doc_id"] for r in got}
-    assert found == {100, 101, 102}
+    assert {r["doc_id"] for r in got} == {r["other_doc_id"] for r in got} == {100, 101, 102}
     assert all(r["end"] - r["start"] >= 78 and r["identity"] >= 0.9 for r in got)
     assert passages.passages(spark.createDataFrame([], DOC)).count() == 0
 
