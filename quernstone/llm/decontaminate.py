@@ -1,18 +1,21 @@
 """Benchmark decontamination: MinHash containment search partitioned by item size, DataFrame functions only.
 
-Words are maximal runs of letters and digits, lower-cased; a shingle is five words in a row (fewer words: all of them).
-A document holds an item if it has at least 0.8 of the item's distinct shingles, wherever they stand.
+Words are maximal runs of letters and digits, lower-cased; a shingle is five words in a row. An item of fewer words is one shingle of
+its own length, and is sought at that length in documents. A document holds an item if it has at least 0.8 of the item's distinct
+shingles, wherever they stand.
 
 Items are partitioned by the power of two below their number of shingles. An item's MinHash sketch is its k smallest
 shingle hashes, with k one more than the shingles that an item of its partition may miss: a document that holds
-enough of the item must have one of the sketch, however long it is, so the search loses nothing. Documents too
-short for a partition's items are not searched for them. Candidates are then verified by counting the very
+enough of the item must have one of the sketch, however long it is, so the search loses nothing. A document's sketch is all of its
+shingle hashes up to the greatest that any item's sketch holds, in its sizes' partitions: what is above can meet no sketch and
+goes no further. Documents too short for a partition's items are not searched for them. Candidates are then verified by counting the very
 shingles, as text, that the document has of the item. Only sketch hits leave a map task in the search, so
 that nothing is shuffled but candidate pairs.
 
 Defined cases: a null or empty text has no shingles and is neither contaminated nor an item; a null doc_id is kept with
 its own answer; rows that repeat a document get the same answer each; rows that share doc_id but not text are judged
-apart; items with the same item_id are one item; a null item_id is no item; an empty table of items leaves all clean.
+apart; items with the same item_id are one item; a null item_id is no item; an empty table of items leaves all clean; very long
+texts are exploded shingle by shingle and held in no list of them. Other columns are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -34,53 +37,63 @@ def _key() -> list[Column]:
     return [F.coalesce(F.col("doc_id"), F.lit(-1)).cast("long").alias("k1"), F.xxhash64("doc_id", "text").alias("k2")]
 
 
-def shingles(df: DataFrame, keys: list[str], shingle: int = SHINGLE) -> DataFrame:
-    """``df`` (keys, text) exploded: keys, w (all words), n (number of shingles), i (a shingle's place), h (its hash)."""
+def shingles(df: DataFrame, keys: list[str], sizes: Column) -> DataFrame:
+    """``df`` (keys, text) exploded: keys, w (all words), m (words of a shingle), n (number of such shingles), i (a shingle's place), h (its hash).
+
+    sizes: the lengths of shingles that are wanted, as an array over the words ``w``.
+    """
     w = df.withColumn("w", words(F.col("text"))).where("size(w) > 0 and w[0] <> ''")
-    each = w.select(*keys, "w", F.transform("w", lambda x: F.xxhash64(x)).alias("hw"), F.greatest(F.lit(1), F.size("w") - (shingle - 1)).alias("n"))
-    each = each.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    return each.select(*keys, "w", "n", "i", F.xxhash64(*[F.get("hw", F.col("i") + k) for k in range(shingle)]).alias("h"))
+    each = w.select(*keys, "w", F.transform("w", lambda x: F.xxhash64(x)).alias("hw"), F.explode(sizes).alias("m"))
+    each = each.withColumn("n", F.size("w") - F.col("m") + 1).where("n > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    # past the shingle's length a null takes the place of a word: xxhash64 leaves it out
+    return each.select(*keys, "w", "m", "n", "i", F.xxhash64("m", *[F.when(F.col("m") > k, F.get("hw", F.col("i") + k)) for k in range(SHINGLE)]).alias("h"))
 
 
-def _text(shingle: int) -> Column:
-    return F.array_join(F.slice("w", F.col("i") + 1, F.lit(shingle)), " ")
+def _text() -> Column:
+    return F.array_join(F.slice("w", F.col("i") + 1, F.col("m")), " ")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, share: float = SHARE) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
     """k1, k2 (see ``_key``), item_id, containment of each pair of a document and an item that it holds."""
     of = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    index = shingles(of, ["item_id"], shingle).select("item_id", "h", _text(shingle).alias("s")).distinct()
+    index = shingles(of, ["item_id"], F.array(F.least(F.lit(SHINGLE), F.size("w")))).select("item_id", "m", "h", _text().alias("s")).distinct()
     sizes = index.groupBy("item_id").agg(F.count("*").alias("n_item"))
     miss = F.lit(1.0 - share)
     index = durable(index.join(sizes, "item_id"))
     # of the partition's largest size; at least what this item may miss, and one more
     k = F.floor(miss * (F.pow(F.lit(2), F.floor(F.log2("n_item")) + 1) - 1) + 1e-9) + 1
-    ranks = index.groupBy("item_id", "n_item").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("h").alias("rank"), F.col("h")))).alias("own"))
-    sketch = durable(ranks.select("item_id", "n_item", F.explode(F.slice("own", F.lit(1), k.cast("int"))).alias("x")).select("item_id", "n_item", F.col("x.h").alias("h")))
+    ranks = index.groupBy("item_id", "n_item").agg(F.sort_array(F.collect_list(F.struct("h", "m"))).alias("own"))
+    sketch = durable(ranks.select("item_id", "n_item", F.explode(F.slice("own", F.lit(1), k.cast("int"))).alias("x")).select("item_id", "n_item", "x.m", "x.h"))
+    # five numbers at most: the greatest sketch hash of each length of shingle
+    top = {r["m"]: r["top"] for r in sketch.groupBy("m").agg(F.max("h").alias("top")).collect()}
+    lengths = F.array(*map(F.lit, sorted(top))) if top else F.array().cast("array<int>")
+    highest = F.lit(None).cast("long")
+    for m, h in top.items():
+        highest = F.when(F.col("m") == m, F.lit(h)).otherwise(highest)
 
     keyed = docs.select(*_key(), "text")
-    found = shingles(keyed, ["k1", "k2"], shingle).select("k1", "k2", "n", "h")
+    found = shingles(keyed, ["k1", "k2"], lengths).where(F.col("h") <= highest).select("k1", "k2", "m", "n", "h")
     enough = F.col("n") >= F.col("n_item") * F.lit(share) - F.lit(1e-9)
-    pairs = durable(found.join(sketch, "h").where(enough).select("k1", "k2", "item_id").distinct())
+    pairs = durable(found.join(sketch, ["m", "h"]).where(enough).select("k1", "k2", "item_id").distinct())
 
     suspects = keyed.join(pairs.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
-    there = shingles(suspects, ["k1", "k2"], shingle).join(index.select("h", "item_id", "n_item", "s"), "h").where(_text(shingle) == F.col("s")).select("k1", "k2", "item_id", "n_item", "s")
+    there = shingles(suspects, ["k1", "k2"], lengths).join(index.select("m", "h", "item_id", "n_item", "s"), ["m", "h"]).where(_text() == F.col("s")).select("k1", "k2", "item_id", "n_item", "s")
     held = there.join(pairs, ["k1", "k2", "item_id"], "left_semi").groupBy("k1", "k2", "item_id", "n_item").agg(F.countDistinct("s").alias("n_held"))
     return held.where(F.col("n_held") >= F.col("n_item") * F.lit(share) - F.lit(1e-9)).select("k1", "k2", "item_id", (F.col("n_held") / F.col("n_item")).alias("containment"))
 
 
-def report(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, share: float = SHARE) -> DataFrame:
+def report(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
     """doc_id, contaminated, item_ids (ascending), containment (the highest; null for clean) of each row of ``docs``."""
-    pairs = contaminated(docs, items, shingle, share)
+    pairs = contaminated(docs, items, share)
     by_doc = pairs.groupBy("k1", "k2").agg(F.array_sort(F.collect_list("item_id")).alias("item_ids"), F.max("containment").alias("containment"))
     none = F.array().cast("array<bigint>")
     return docs.select("doc_id", *_key()).join(durable(by_doc), ["k1", "k2"], "left").select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("item_ids", none).alias("item_ids"), "containment")
 
 
-def clean(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, share: float = SHARE) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no item."""
     k1, k2 = _key()
-    bad = durable(contaminated(docs, items, shingle, share).select(F.col("k1").alias("__hit_k1"), F.col("k2").alias("__hit_k2")).distinct())
+    bad = durable(contaminated(docs, items, share).select(F.col("k1").alias("__hit_k1"), F.col("k2").alias("__hit_k2")).distinct())
     return docs.join(bad, (k1 == F.col("__hit_k1")) & (k2 == F.col("__hit_k2")), "left_anti")
 
 
@@ -89,16 +102,17 @@ WITH d AS (
   SELECT doc_id, text, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents
 ), b AS (
   SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark
+), l AS (SELECT DISTINCT unnest([least(5, len(w))]) AS m FROM b WHERE w[1] <> ''
 ), ds AS (
-  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
-  FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM d WHERE w[1] <> '')
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + m - 1], ' ') AS s, m
+  FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, l WHERE w[1] <> '' AND len(w) >= m)
 ), bs AS (
-  SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s
-  FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM b WHERE w[1] <> '')
+  SELECT DISTINCT item_id, array_to_string(w[i:i + m - 1], ' ') AS s, m
+  FROM (SELECT item_id, w, least(5, len(w)) AS m, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM b WHERE w[1] <> '')
 ), n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id),
 pairs AS (
   SELECT doc_id, item_id, count(*) / n_item AS containment
-  FROM ds JOIN bs USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_item
+  FROM ds JOIN bs USING (s, m) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_item
   HAVING count(*) >= n_item * 0.8 - 1e-9
 ), g AS (SELECT doc_id, list(item_id ORDER BY item_id) AS item_ids, max(containment) AS containment FROM pairs GROUP BY doc_id)
 SELECT d.doc_id, g.item_ids IS NOT NULL AS contaminated, coalesce(g.item_ids, []::BIGINT[]) AS item_ids, g.containment
