@@ -6,10 +6,14 @@ rows reach, and for each query cell the least of these. A row x can be among the
 radius r only if <c, x> + r |x| reaches that: it is copied to those cells alone. There, blocks of queries meet
 chunks of rows in matrix products, and the best k of each query and task are merged.
 
+How much a cell is spared depends on the data: vectors that lie in tight groups go to few cells, vectors spread evenly over many
+dimensions to all of them, as every cell's bound then covers every row. ``copies`` tells how many cells a row goes to.
+
 Defined cases: vectors that are null or have a null or non-finite component take no part, nor do rows without vec_id;
-shorter vectors count as padded with zeros; rows alike in vec_id and vector count once, and a row that shares the
-query's vec_id is its own; scores beyond the range of long are held at its ends; fewer candidates than k give fewer
-rows; an empty table gives an empty result. Columns other than vec_id and embedding are not read.
+shorter vectors count as padded with zeros, also where all are empty; a repeated row is a candidate each time, and asks once; a row that
+shares the query's vec_id is its own; scores beyond the range of long are held at its ends; ties go to the smaller vec_id; fewer candidates
+than k give fewer rows; wide vectors go in smaller chunks; an empty table gives an empty result. Columns other than vec_id and embedding
+are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -24,8 +28,8 @@ from pyspark.sql import functions as F
 from quernstone.llm.common import durable
 
 K, PIVOTS, SCALE = 5, 32, 256.0
-#: Queries in a block and rows in a chunk of the local solution.
-BLOCK, CHUNK = 1024, 4096
+#: Queries in a block of the local solution, and bytes of a chunk of rows, both at most.
+BLOCK, CHUNK_BYTES = 1024, 1 << 20
 LOW, HIGH = -(2**63), 2**63 - 1
 #: Sums of products up to here are exact in doubles.
 EXACT = 2.0**52
@@ -78,16 +82,45 @@ def usable(vectors: DataFrame) -> DataFrame:
     fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     # doubles beyond 1e15 are whole numbers
     whole = F.transform(v, lambda x: F.when(F.abs(x.cast("double") * SCALE) < 1e15, F.floor(x.cast("double") * SCALE).cast("double")).otherwise(x.cast("double") * SCALE))
-    return vectors.where(fine & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v")).distinct()
+    return vectors.where(fine & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"))
 
 
 def topk(vectors: DataFrame, every: int = 50, k: int = K, pivots: int = PIVOTS) -> DataFrame:
     """query_id, rank, vec_id, score: the best k rows for each row whose vec_id is a multiple of ``every``."""
     rows = durable(usable(vectors))
-    schema = "query_id long, rank int, vec_id long, score long"
     dim = rows.agg(F.max(F.size("v"))).first()[0]
-    if not dim:
-        return rows.sparkSession.createDataFrame([], schema)
+    if dim is None:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    _, found = _joined(rows, max(1, dim), every, k, pivots)
+    found = _by_few(found)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _by_few(df: DataFrame, rows: int = 32) -> DataFrame:
+    """``df``, computed with few rows in a batch for Python: each holds a block of queries and a chunk of rows."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = conf.get(name)
+    conf.set(name, str(rows))
+    try:
+        return durable(df)
+    finally:
+        conf.set(name, usual)
+
+
+def copies(vectors: DataFrame, every: int = 50, k: int = K, pivots: int = PIVOTS) -> float:
+    """How many query cells a row goes to on average."""
+    rows = durable(usable(vectors))
+    dim = rows.agg(F.max(F.size("v"))).first()[0]
+    if dim is None:
+        return 0.0
+    chunks, _ = _joined(rows, max(1, dim), every, k, pivots)
+    return (chunks.agg(F.sum(F.length("ids"))).first()[0] or 0) / 8 / rows.count()
+
+
+def _joined(rows: DataFrame, dim: int, every: int, k: int, pivots: int) -> tuple[DataFrame, DataFrame]:
+    """The chunks of rows (cell, ids, xs) that go to query cells, and each task's best (query_id, vec_id, score)."""
+    chunk_rows = max(16, CHUNK_BYTES // (8 * dim))
     step = max(1, rows.count() // (pivots * 8))
     some = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(step)) == 0).select("v", "vec_id").orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(pivots).collect()
     p = np.zeros((max(1, len(some)), dim))
@@ -129,7 +162,7 @@ def topk(vectors: DataFrame, every: int = 50, k: int = K, pivots: int = PIVOTS)
             at, d = cells(x)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at.astype(np.int32)), pa.array(d), pa.array(floors(x))], names=["vec_id", "v", "cell", "d", "floor"])
 
-    queries = durable(rows.where(F.col("vec_id") % every == 0).mapInArrow(asked, "vec_id long, v array<double>, cell int, d double, floor double"))
+    queries = durable(rows.where(F.col("vec_id") % every == 0).distinct().mapInArrow(asked, "vec_id long, v array<double>, cell int, d double, floor double"))
     groups = queries.groupBy("cell").agg(F.count("*").alias("n"), F.max("d").alias("r"), F.min("floor").alias("floor")).collect()
     blocks = {r["cell"]: -(-r["n"] // BLOCK) for r in groups}
     g = np.array([r["cell"] for r in groups], int)
@@ -148,13 +181,13 @@ def topk(vectors: DataFrame, every: int = 50, k: int = K, pivots: int = PIVOTS)
             if not len(ids) or not len(g):
                 continue
             # a hair above rounding errors
-            can = (x @ p[g].T + radius * np.sqrt((x * x).sum(1))[:, None]) * 1.0
+            can = x @ p[g].T + radius * np.sqrt((x * x).sum(1))[:, None]
             keep = can + 1e-6 * (1.0 + np.abs(can)) >= least
             for j in np.nonzero(keep.any(0))[0]:
                 c, own = int(g[j]), keep[:, j]
-                for a in range(0, int(own.sum()), CHUNK):
-                    held.setdefault(c, []).append((ids[own][a : a + CHUNK], x[own][a : a + CHUNK]))
-                    if sum(len(z[0]) for z in held[c]) >= CHUNK:
+                for a in range(0, int(own.sum()), chunk_rows):
+                    held.setdefault(c, []).append((ids[own][a : a + chunk_rows], x[own][a : a + chunk_rows]))
+                    if sum(len(z[0]) for z in held[c]) >= chunk_rows:
                         yield chunk(c)
         for c in list(held):
             yield chunk(c)
@@ -197,9 +230,7 @@ def topk(vectors: DataFrame, every: int = 50, k: int = K, pivots: int = PIVOTS)
         for x in best.values():
             yield out(*x)
 
-    found = met.mapInArrow(solved, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return chunks, met.mapInArrow(solved, "query_id long, vec_id long, score long")
 
 
 ORACLE = """
