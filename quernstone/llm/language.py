@@ -7,9 +7,12 @@ its host, smoothed with the host's registered domain, that with the address suff
 are sums, by group, of what the text alone says of each page, less the page's own share, so that it isn't
 counted twice. The three log terms add up, and the posterior is their softmax.
 
+A page's text is that of all of its articles and main parts, if it has any, else all of it but menus, scripts and the like.
+
 Defined cases: null or empty html has no text evidence and declares nothing; a null or odd url has the empty host, which is
-one host; ties go to the language first by code; repeated rows are pages each; without labelled documents there
-are no languages, and lang is null; an empty table gives an empty result. Other columns are not read.
+one host; ties go to the language first by code; repeated rows are pages each; a page of any length is read whole; without labelled
+documents there are no languages, and lang is null; more than LANGUAGES of them are an error, and none is left out; an empty table gives an
+empty result. Other columns are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -25,21 +28,33 @@ from pyspark.sql import functions as F
 
 from quernstone.llm.common import durable
 
-FIT_DOCUMENTS, LANGUAGES, SLOTS = 1_000, 64, 1 << 15
+FIT_DOCUMENTS, LANGUAGES, SLOTS = 1_000, 1_000, 1 << 15
 EFFECTIVE, STRENGTH, PARTS = 100, 4.0, 8
 
 HIDDEN = re.compile(r"<(script|style|nav|head|footer|aside)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)", re.S | re.I)
 TAG = re.compile(r"<[^<>]*>")
-ARTICLE = re.compile(r"<(article|main)\b[^<>]*>(.*?)(?:</\1\s*>|\Z)", re.S | re.I)
+ARTICLE = re.compile(r"<(/?)(?:article|main)\b[^<>]*>", re.I)
 LANG = r"(?i)<html\b[^<>]*\blang\s*=\s*[\"']?([a-z]{2,3})"
 
 
 def visible(page: str | None) -> str:
-    """The text of a page, of its article if it has one."""
+    """The text of a page, of its articles if it has any."""
     if not page:
         return ""
-    m = ARTICLE.search(page)
-    return entities.unescape(TAG.sub(" ", HIDDEN.sub(" ", m[2] if m else page)))
+    rest = HIDDEN.sub(" ", page)
+    parts, depth, at = [], 0, 0
+    for m in ARTICLE.finditer(rest):
+        if not m[1]:
+            if not depth:
+                at = m.end()
+            depth += 1
+        elif depth:
+            depth -= 1
+            if not depth:
+                parts.append(rest[at : m.start()])
+    if depth:
+        parts.append(rest[at:])
+    return entities.unescape(TAG.sub(" ", " ".join(parts) if parts else rest))
 
 
 def slots(text: str) -> np.ndarray:
@@ -54,12 +69,14 @@ def slots(text: str) -> np.ndarray:
 def fit(documents: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages in order of code, and log probabilities (language, slot)."""
     known = documents.where("lang is not null and text is not null")
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     langs = sorted(r["lang"] for r in sizes)
     if not langs:
         return [], np.zeros((0, SLOTS))
     step = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], max(1, r["n"] // FIT_DOCUMENTS))])
-    few = known.where(F.pmod(F.xxhash64("text"), F.coalesce(step[F.col("lang")], F.lit(1)).cast("long")) == 0).where(F.col("lang").isin(langs))
+    few = known.where(F.pmod(F.xxhash64("text"), F.coalesce(step[F.col("lang")], F.lit(1)).cast("long")) == 0)
     at = {x: k for k, x in enumerate(langs)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +110,8 @@ def languages(pages: DataFrame, documents: DataFrame) -> DataFrame:
             for i, page in enumerate(b.column(3).to_pylist()):
                 s = slots(visible(page))
                 if len(s):
-                    score[i] = logp[:, s].mean(1) * min(len(s) / 3, EFFECTIVE)
+                    mean = logp[:, s].mean(1) if len(s) <= SLOTS else logp @ np.bincount(s, minlength=SLOTS) / len(s)
+                    score[i] = mean * min(len(s) / 3, EFFECTIVE)
             score -= score.max(1, keepdims=True) if n else 0
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(score.tolist(), pa.list_(pa.float64()))], names=["page_id", "host", "declared", "ll"])
 
@@ -103,6 +121,13 @@ def languages(pages: DataFrame, documents: DataFrame) -> DataFrame:
     if not n:
         return rows.select("page_id", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("posterior"), F.lit(None).cast("string").alias("text_lang"), "declared", "host")
 
+    return fused(rows, langs)
+
+
+def fused(rows: DataFrame, langs: list[str]) -> DataFrame:
+    """page_id, lang, posterior, text_lang, declared, host of rows (page_id, host, declared, ll: log likelihood by language)."""
+    n = len(langs)
+
     def softmax(x: Column) -> Column:
         e = F.transform(x, lambda v: F.exp(v))
         return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
