@@ -15,7 +15,8 @@ from pyspark.sql.types import DoubleType
 from quernstone.operators.lexical import ranked
 
 _WORD = re.compile(r"[^\W_]+")
-LONGEST = 2000
+#: Characters that are read of each string.
+LONGEST = 8000
 
 
 def indel(a: str, b: str) -> float:
