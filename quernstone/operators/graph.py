@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.operators.visibility import overlap, valid_at
+from quernstone.sources.sinks import kept
 
 RISKS = ("high", "medium", "low")
 
@@ -45,14 +46,23 @@ def paths(edges: DataFrame, pairs: DataFrame, depth: int = 4, limit: int = 20) -
     """start_id, end_id, nodes, edge_ids, depth, position: simple paths between each pair, the shortest first.
 
     An unrolled breadth-first walk on edges made symmetric: each step joins the frontier on its last node, and paths that
-    have arrived go no further.
+    have arrived go no further. A first walk back from the ends tells how far nodes are from them, so that no path is grown
+    that can't arrive in time, through whatever hubs.
     """
-    steps = both_ways(edges)
-    front = pairs.select("start_id", "end_id").distinct().withColumn("nodes", F.array("start_id")).withColumn("edge_ids", F.array().cast("array<string>"))
+    steps = kept(both_ways(edges))
+    wanted = pairs.select("start_id", "end_id").distinct()
+    near = wanted.select("end_id", F.col("end_id").alias("node")).distinct().withColumn("away", F.lit(0))
+    last = near
+    for n in range(1, depth):
+        last = last.join(steps, last["node"] == steps["here"]).select("end_id", F.col("there").alias("node")).distinct().withColumn("away", F.lit(n))
+        near = near.unionByName(last)
+    near = kept(near.groupBy("end_id", "node").agg(F.min("away").alias("away")))
+    front = wanted.withColumn("nodes", F.array("start_id")).withColumn("edge_ids", F.array().cast("array<string>"))
     found = None
     for n in range(1, depth + 1):
         last = front.withColumn("here", F.element_at("nodes", -1))
         grown = last.join(steps, "here").where(~F.array_contains("nodes", F.col("there")))
+        grown = grown.join(near.where(F.col("away") <= depth - n).select("end_id", F.col("node").alias("there")), ["end_id", "there"])
         front = grown.select("start_id", "end_id", F.array_append("nodes", F.col("there")).alias("nodes"), F.array_append("edge_ids", F.col("id").cast("string")).alias("edge_ids"))
         arrived = front.where(F.element_at("nodes", -1) == F.col("end_id")).withColumn("depth", F.lit(n))
         found = arrived if found is None else found.unionByName(arrived)

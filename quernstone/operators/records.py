@@ -78,12 +78,15 @@ def job_states(events: DataFrame, now: Column) -> DataFrame:
     return out.select("job_id", F.col("v.state").alias("state"), "attempts", retry.alias("retry_at"), F.coalesce(retry <= now, F.lit(False)).alias("due"))
 
 
-def corpus_fingerprint(rows: DataFrame, *columns: str, buckets: int = 256) -> DataFrame:
-    """fingerprint: SHA-256 over the sorted hashes of rows, in buckets by their first digits, so that no task sorts them all."""
+def corpus_fingerprint(rows: DataFrame, *columns: str, levels: tuple[int, ...] = (4, 2)) -> DataFrame:
+    """fingerprint: SHA-256 over the sorted hashes of rows, by a tree: the hashes of rows that share 4 digits are hashed in order, those of
+    2 digits' hashes again, and at last all of them. No list is longer than a 65,536th of the rows, or than 256."""
     h = rows.select(F.sha2(F.concat_ws("\x00", *[F.coalesce(F.col(c).cast("string"), F.lit("\x01")) for c in columns]), 256).alias("h"))
-    width = 2 if buckets <= 256 else 4
-    parts = h.groupBy(F.substring("h", 1, width).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("p"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "p"))), lambda x: x["p"]), ""), 256).alias("fingerprint"))
+    now = h.select("h", F.col("h").alias("at"))
+    for width in (*levels, 0):
+        own = F.array_sort(F.collect_list(F.struct("at", "h")))
+        now = now.groupBy(F.substring("at", 1, width).alias("b")).agg(F.sha2(F.array_join(F.transform(own, lambda x: x["h"]), ""), 256).alias("h")).select("h", F.col("b").alias("at"))
+    return now.select(F.col("h").alias("fingerprint"))
 
 
 def preferences(events: DataFrame) -> DataFrame:

@@ -55,19 +55,20 @@ def graph_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.neighbors(_live(spark, sf_dir), start, "both", 20)
 
 
-@query(f"""WITH RECURSIVE {EDGES}, f AS (SELECT * FROM e WHERE predicate IN ('part_of', 'located_in') AND status = 'accepted' AND (id[1] = 'n' OR id[1] = 's' AND s_key(id) < 40)),
+@query(f"""WITH RECURSIVE {EDGES}, f AS (SELECT * FROM e WHERE predicate IN ('part_of', 'located_in') AND status = 'accepted'),
 s AS (SELECT id, subject_id AS here, object_id AS there FROM f UNION ALL SELECT id, object_id, subject_id FROM f),
-pairs AS (SELECT 'supplier:' || s_suppkey AS start_id, 'region:' || r_regionkey AS end_id FROM supplier, region WHERE s_suppkey < 4),
+pairs AS (SELECT 'supplier:' || s_suppkey AS start_id, 'region:' || r_regionkey AS end_id FROM supplier, region),
 w AS (SELECT start_id, end_id, [start_id] AS nodes, []::VARCHAR[] AS edge_ids, 0 AS depth FROM pairs
   UNION ALL SELECT start_id, end_id, list_append(nodes, there), list_append(edge_ids, id), depth + 1 FROM w JOIN s ON nodes[-1] = here WHERE depth < 4 AND nodes[-1] <> end_id AND NOT list_contains(nodes, there)),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY start_id, end_id ORDER BY depth, array_to_string(edge_ids, ',')) AS INT) AS position FROM w WHERE nodes[-1] = end_id)
-SELECT start_id, end_id, nodes, edge_ids, depth, position FROM r WHERE position <= 20""".replace("s_key(id)", "CAST(substr(id, 2) AS INT)"))
+SELECT start_id, end_id, nodes, edge_ids, depth, position FROM r WHERE position <= 20""")
 def graph_paths_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.substring("id", 2, 9).cast("int")
-    own = graph.live(edges(spark, sf_dir), None, ("part_of", "located_in")).where(F.col("id").startswith("n") | (F.col("id").startswith("s") & (key < 40)))
-    start = table(spark, sf_dir, "supplier").where("s_suppkey < 4").select(F.concat(F.lit("supplier:"), "s_suppkey").alias("start_id"), F.lit(1).alias("one"))
-    end = table(spark, sf_dir, "region").select(F.concat(F.lit("region:"), "r_regionkey").alias("end_id"), F.lit(1).alias("one"))
-    return graph.paths(own, start.join(end, "one").drop("one"), 4, 20)
+    own = graph.live(edges(spark, sf_dir), None, ("part_of", "located_in"))
+    start = table(spark, sf_dir, "supplier").select(F.concat(F.lit("supplier:"), "s_suppkey").alias("start_id"))
+    # each supplier with the few regions, which one row carries
+    ends = table(spark, sf_dir, "region").agg(F.collect_list(F.concat(F.lit("region:"), "r_regionkey")).alias("ends"))
+    start = start.crossJoin(F.broadcast(ends)).select("start_id", F.explode("ends").alias("end_id"))
+    return graph.paths(own, start, 4, 20)
 
 
 @query("""WITH q AS (SELECT c_custkey AS query_id, 'orders of ' || n_name || ' for ' || c_mktsegment AS query FROM customer JOIN nation ON c_nationkey = n_nationkey),
@@ -165,16 +166,12 @@ def triage_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.triage(c, 50).drop("created_at")
 
 
-EVIDENCE = "ev AS (SELECT i AS candidate_id, (i * 7 + j * 13) % (SELECT count(*) FROM documents) AS unit_id FROM range(200) a(i), range(3) b(j) WHERE i % 10 <> 0)"
-
-
-@query(f"WITH {SEEN}, {EVIDENCE} SELECT i AS candidate_id FROM range(200) a(i) WHERE i NOT IN (SELECT candidate_id FROM ev WHERE unit_id NOT IN (SELECT unit_id FROM seen))")
+@query(f"WITH {SEEN}, ev AS (SELECT l_orderkey AS candidate_id, l_partkey % (SELECT count(*) FROM documents) AS unit_id FROM lineitem WHERE l_linenumber <= 2) SELECT o_orderkey AS candidate_id FROM orders WHERE o_orderkey NOT IN (SELECT candidate_id FROM ev WHERE unit_id NOT IN (SELECT unit_id FROM seen))")
 def candidate_visibility_division(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = units(spark, sf_dir)
-    rows = spark.range(200).select(F.col("id").alias("candidate_id"))
     n = u.agg(F.count("*").alias("n"))
-    evidence = rows.where("candidate_id % 10 <> 0").select("candidate_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("j")).crossJoin(F.broadcast(n)).select("candidate_id", ((F.col("candidate_id") * 7 + F.col("j") * 13) % F.col("n")).alias("unit_id"))
-    return fully_evidenced(rows, "candidate_id", evidence, visible(u, CONTEXT))
+    evidence = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").crossJoin(F.broadcast(n)).select(F.col("l_orderkey").alias("candidate_id"), (F.col("l_partkey") % F.col("n")).alias("unit_id"))
+    return fully_evidenced(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("candidate_id")), "candidate_id", evidence, visible(u, CONTEXT))
 
 
 @query("SELECT o_custkey AS object_id, o_orderkey AS revision_id, coalesce(o_orderdate >= max(o_orderdate) OVER (PARTITION BY o_custkey), true) AS is_latest FROM orders")
@@ -286,7 +283,7 @@ def discovery_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.proposals(e)
 
 
-@query("SELECT p.position, d.doc_id, d.lang FROM (SELECT i AS position, (i * 37) % 101 AS doc_id FROM range(60) r(i)) p JOIN documents d USING (doc_id)")
+@query("SELECT o_orderkey AS position, doc_id, lang FROM orders JOIN documents ON doc_id = o_custkey")
 def ordered_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = spark.range(60).select(F.col("id").alias("position"), (F.col("id") * 37 % 101).alias("doc_id"))
-    return ingest.ordered_lookup(ids, table(spark, sf_dir, "documents"), "doc_id").select("position", "doc_id", "lang").orderBy("position")
+    ids = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("position"), F.col("o_custkey").alias("doc_id"))
+    return ingest.ordered_lookup(ids, table(spark, sf_dir, "documents"), "doc_id").select("position", "doc_id", "lang")

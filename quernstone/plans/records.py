@@ -32,9 +32,9 @@ def document_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.document_view(o.select(F.col("o_orderkey").alias("artifact_id"), F.col("o_orderpriority").alias("file_name")), o.select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("artifact_id"), (F.col("o_orderstatus") == "F").alias("is_primary")))
 
 
-@query(r"""SELECT o_orderkey AS id, c_name AS subject, o_orderstatus AS object, substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 280) AS snippet FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN documents ON doc_id = o_orderkey WHERE o_orderkey < 2000""")
+@query(r"""SELECT o_orderkey AS id, c_name AS subject, o_orderstatus AS object, substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 280) AS snippet FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN documents ON doc_id = o_orderkey""")
 def review_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderkey < 2000")
+    o = table(spark, sf_dir, "orders")
     c = o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("c"), "o_custkey").alias("subject_id"), F.col("o_orderstatus").alias("object_id"))
     names = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.col("c_name").alias("name"))
     u = units(spark, sf_dir)
@@ -52,7 +52,7 @@ def assertion_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH a AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'entity' ELSE 'relation' END AS kind, doc_id % 20 AS case_id, 'x' || (doc_id % 13) AS item FROM documents WHERE doc_id % 3 <> 0),
-e AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'entity' ELSE 'relation' END AS kind, doc_id % 22 AS case_id, 'x' || (doc_id % 17) AS item FROM documents WHERE doc_id < 150),
+e AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'entity' ELSE 'relation' END AS kind, doc_id % 22 AS case_id, 'x' || (doc_id % 17) AS item FROM labels),
 ga AS (SELECT kind, case_id, list(DISTINCT item) AS a, count(*) - count(DISTINCT item) AS dup FROM a GROUP BY ALL), ge AS (SELECT kind, case_id, list(DISTINCT item) AS e FROM e GROUP BY ALL),
 j AS (SELECT kind, coalesce(a, []) AS a, coalesce(e, []) AS e, coalesce(dup, 0) AS dup FROM ga FULL JOIN ge USING (kind, case_id))
 SELECT kind, round(avg(CASE WHEN len(a) > 0 THEN len(list_intersect(a, e)) / len(a) WHEN len(e) = 0 THEN 1.0 ELSE 0.0 END), 6) AS precision, round(avg(CASE WHEN len(e) > 0 THEN len(list_intersect(a, e)) / len(e) ELSE 1.0 END), 6) AS recall, CAST(sum(dup) AS BIGINT) AS duplicates FROM j GROUP BY kind""")
@@ -61,7 +61,7 @@ def ontology_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     kind = F.when(i % 2 == 0, "entity").otherwise("relation").alias("kind")
     item = lambda n: F.concat(F.lit("x"), (i % n).cast("string")).alias("item")
-    return records.graph_metrics(d.where("doc_id % 3 <> 0").select(kind, (i % 20).alias("case_id"), item(13)), d.where("doc_id < 150").select(kind, (i % 22).alias("case_id"), item(17)))
+    return records.graph_metrics(d.where("doc_id % 3 <> 0").select(kind, (i % 20).alias("case_id"), item(13)), table(spark, sf_dir, "labels").select(kind, (i % 22).alias("case_id"), item(17)))
 
 
 @query("""SELECT count(*) AS total, count(CASE WHEN doc_id % 4 = 0 THEN 1 END) AS sampled, count(CASE WHEN doc_id % 4 = 0 AND quality = 0 THEN 1 END) AS rejected, count(b.item_id) AS collisions,
@@ -79,8 +79,8 @@ def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.job_states(e, F.lit("2024-01-30 12:00:00").cast("timestamp_ntz"))
 
 
-@query("""WITH h AS (SELECT sha256(CAST(doc_id AS VARCHAR) || chr(0) || text) AS h FROM documents), p AS (SELECT substr(h, 1, 2) AS b, sha256(string_agg(h, '' ORDER BY h)) AS p FROM h GROUP BY 1)
-SELECT sha256(string_agg(p, '' ORDER BY b)) AS fingerprint FROM p""")
+@query("""WITH h AS (SELECT sha256(CAST(doc_id AS VARCHAR) || chr(0) || text) AS h FROM documents), p AS (SELECT substr(h, 1, 4) AS b, sha256(string_agg(h, '' ORDER BY h)) AS p FROM h GROUP BY 1),
+s AS (SELECT substr(b, 1, 2) AS b, sha256(string_agg(p, '' ORDER BY b)) AS p FROM p GROUP BY 1) SELECT sha256(string_agg(p, '' ORDER BY b)) AS fingerprint FROM s""")
 def corpus_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.corpus_fingerprint(table(spark, sf_dir, "documents"), "doc_id", "text")
 
