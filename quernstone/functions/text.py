@@ -37,15 +37,31 @@ def collapse(text: Column | str) -> Column:
 
 
 @F.pandas_udf(StringType())
-def normalize_text(text: pd.Series) -> pd.Series:
-    """NFKC with NUL as a blank and white space collapsed. Spark has no NFKC of its own: an Arrow batch at a time."""
-    return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t.replace("\x00", " ")).split()))
+def _nfkc(text: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else " ".join(unicodedata.normalize("NFKC", t.replace("\x00", " ")).split()) for t in text], dtype="object")
 
 
 @F.pandas_udf(StringType())
-def normalize_name(text: pd.Series) -> pd.Series:
+def _folded(text: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()).casefold() for t in text], dtype="object")
+
+
+#: Texts of these characters alone are their own NFKC form; others go to Python, an Arrow batch at a time, as Spark has no NFKC.
+ASCII = r"^[\x00-\x7F]*$"
+#: What Python takes for white space among them.
+BLANKS = r"[\x09-\x0D\x1C-\x20]+"
+
+
+def normalize_text(text: Column | str) -> Column:
+    """NFKC with NUL as a blank and white space collapsed."""
+    plain = F.trim(F.regexp_replace(F.translate(c(text), "\x00", " "), BLANKS, " "))
+    return F.when(c(text).rlike(ASCII), plain).otherwise(_nfkc(F.when(~c(text).rlike(ASCII), c(text))))
+
+
+def normalize_name(text: Column | str) -> Column:
     """NFKC, collapsed and case-folded: the form that entity names are compared in."""
-    return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()).casefold())
+    plain = F.lower(F.trim(F.regexp_replace(c(text), BLANKS, " ")))
+    return F.when(c(text).rlike(ASCII), plain).otherwise(_folded(F.when(~c(text).rlike(ASCII), c(text))))
 
 
 def stable_id(prefix: str, namespace: str, value: Column | str) -> Column:

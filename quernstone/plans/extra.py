@@ -13,14 +13,14 @@ from quernstone.functions import fuzzy
 from quernstone.functions import text as T
 from quernstone.operators import lexical
 from quernstone.plans.registry import asked, query, table, units
-from quernstone.sources import parsers
+from quernstone.sources import parsers, sinks
 from quernstone.streaming import events
 
 
 @query()
 def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", T.normalize_text("text").alias("text"), T.normalize_name(F.substring("text", 1, 200)).alias("name"))
+    return d.select("doc_id", T.normalize_text("text").alias("text"), T.normalize_name("text").alias("name"))
 
 
 @query()
@@ -42,14 +42,19 @@ def overlap_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, ordinal int, start int, body string")
 
 
-@query()
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""")
 def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions as a stream gives them out: those that the watermark has closed. An extension."""
-    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
-    name = f"sessions_{uuid.uuid4().hex}"
-    writer = events.sessions(source, "user_id").writeStream.format("memory").queryName(name).outputMode("append")
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    q = (writer.option("checkpointLocation", f"{shared.rstrip('/')}/{name}") if shared else writer).start()
+    """Sessions as a stream gives them out, to a table; a last event of no user, a year on, closes those that are open. An extension."""
+    path = f"{sinks.shared_dir(spark)}/quernstone-sessions-{uuid.uuid4().hex}"
+    e = table(spark, sf_dir, "events").select("user_id", "ts")
+    e.write.parquet(f"{path}/events")
+    source = spark.readStream.schema(e.schema).parquet(f"{path}/events")
+    q = events.sessions(source, "user_id").writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").start()
+    q.processAllAvailable()
+    end = e.agg((F.max("ts") + F.expr("INTERVAL 365 DAYS")).alias("ts")).select(F.lit(None).cast("long").alias("user_id"), "ts")
+    end.write.mode("append").parquet(f"{path}/events")
     q.processAllAvailable()
     q.stop()
-    return spark.table(name)
+    return spark.read.parquet(f"{path}/out").where("user_id is not null").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")

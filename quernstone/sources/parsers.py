@@ -101,28 +101,36 @@ def text_units(raw: bytes) -> Iterator[Unit]:
     yield "text", None, text, {"type": "text_line_range", "start": 1, "end": text.count("\n") + 1, "encoding": how}
 
 
+def _line(row: list[str], sep: str) -> str:
+    out = io.StringIO()
+    csv.writer(out, delimiter=sep, lineterminator="").writerow(row)
+    return out.getvalue()
+
+
 def csv_units(raw: bytes) -> Iterator[Unit]:
-    """Rows in chunks that repeat the header; comments before it only help to tell the separator."""
+    """Rows in chunks that repeat the header. Lines that begin with # are left out of the sample that tells the separator, but are rows."""
     text, _ = decoded(raw)
-    lines = [x for x in text.splitlines() if x and not x.startswith("#")]
-    sample = lines[:20]
+    sample = [x for x in text.splitlines() if x.strip() and not x.startswith("#")][:20]
     sep = max(",;\t", key=lambda s: min((x.count(s) for x in sample), default=0) * 1000 + sum(x.count(s) for x in sample))
-    rows = [r for r in csv.reader(io.StringIO("\n".join(lines)), delimiter=sep) if r]
+    rows = [r for r in csv.reader(io.StringIO(text, newline=""), delimiter=sep) if r]
     if not rows:
         return
     header, width = rows[0], len(rows[0])
     ragged = sum(len(r) != width for r in rows[1:])
-    top = sep.join(header)
+    top = _line(header, sep)
+    pieces: list[tuple[int, int, list[str]]] = []
     own: list[str] = []
     first, length = 1, len(top)
     for n, r in enumerate(rows[1:], start=1):
-        line = sep.join(r)
+        line = _line(r, sep)
         if own and length + len(line) + 1 > CHUNK:
-            yield "table", None, "\n".join([top, *own]), {"type": "csv_rows", "start": first, "end": n - 1, "ragged": ragged}
+            pieces.append((first, n - 1, own))
             own, first, length = [], n, len(top)
         own.append(line)
         length += len(line) + 1
-    yield "table", None, "\n".join([top, *own]), {"type": "csv_rows", "start": first, "end": len(rows) - 1, "ragged": ragged}
+    pieces.append((first, len(rows) - 1, own))
+    for first, last, lines in pieces:
+        yield "table", None, "\n".join([top, *lines]), {"type": "csv_rows", "start": first, "end": last, "ragged": ragged, "partial": len(pieces) > 1}
 
 
 def _words(node: ET.Element) -> str:
