@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quernstone.plans import extra, knowledge, quality, records, search  # noqa: F401
+from quernstone.plans import extra, knowledge, quality, records, search, store  # noqa: F401
 from quernstone.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "bm25_topk"

@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -212,11 +213,129 @@ def test_portable_suite(spark):
     assert c.count() == 120 and c.where("denied").count() == 20
 
 
-def test_adequacy(spark):
-    s = "query_id int, query string, rank int, title string, body string, document_type string"
-    rows = [(1, "계약 금액 얼마", 1, "", "계약 금액 없음", "pdf"), (2, "AB-12 계약 조건", 1, "", "계약 조건 AB-13", "pdf"), (3, "계약 조건", 1, "", "전혀 다른", "pdf"), (4, "계약 조건", 1, "", "계약 조건", "pdf"), (5, "계약 조건", 1, "", "계약 조건", "csv")]
-    got = {r[0]: r[1] for r in answer.adequacy(spark.createDataFrame(rows, s)).collect()}
-    assert got == {1: "value_not_found", 2: "identifier_not_found", 3: "no_relevant_evidence", 4: None, 5: "csv_requires_exact_rows"}
+def plain_adequacy(query, rows):
+    """The cascade for one question, step by step; rows: (body, locator, partial, document, asserted, stale)."""
+    from quernstone.functions.text import PARTICLES, QUESTION_WORDS
+
+    def words(text):
+        out = set()
+        for w in re.findall(r"[0-9A-Za-z가-힣]{2,}", text.lower()):
+            cut = next((p for p in PARTICLES if w.endswith(p) and len(w) - len(p) >= 2), "")
+            w = w[: len(w) - len(cut)]
+            if w not in QUESTION_WORDS:
+                out.add(w)
+        return out
+
+    keys, only = words(query), lambda t: "".join(ch for ch in t.lower() if ch.isalnum())
+    numeric = any(w in query for w in answer.NUMERIC_INTENT)
+    left = [r for r in rows if r[4] or sum(k in r[0].lower() for k in keys) >= min(2, len(keys))]
+    if numeric and any(r[1] == "xlsx_sheet" for r in left):
+        return "exact_xlsx_read_required", 0
+    if numeric and any(r[1] == "csv_rows" and r[2] for r in left):
+        return "csv_full_table_required", 0
+    ids = [m.group() for m in re.finditer(answer.IDENTIFIER, query)]
+    focus = set()
+    if "의" in query:
+        focus = {t for t in words(query.rsplit("의", 1)[1]) if t not in answer.GENERIC_TERMS + answer.ASKING_TERMS and not t.endswith(answer.ASKING_ENDINGS)}
+    gates = [lambda r: all(only(i) in only(r[0]) for i in ids), lambda r: all(t in r[0].lower() for t in focus), lambda r: not numeric or re.search(answer.VALUE, r[0])]
+    for gate in gates:
+        kept = [r for r in left if gate(r)]
+        if left and not kept:
+            return "answer_not_present", 0
+        left = kept
+    if len({r[3] for r in left}) > 1 and (not keys - set(answer.GENERIC_TERMS) or not ids and len(keys) <= 2):
+        return "clarification_required", 0
+    if "승인" in query and left:
+        score = lambda r: sum(k in r[0].lower() for k in keys if not k.startswith(answer.DECISION_PREFIXES))
+        top = max(map(score, left))
+        left = [r for r in left if score(r) == top] if top else left
+        if not any(re.search(answer.APPROVAL, r[0]) for r in left):
+            return "insufficient_decision_evidence", 0
+    if not left:
+        return ("no_fresh_evidence" if any(r[5] for r in rows) else "no_admissible_evidence"), 0
+    return None, len(left)
+
+
+def test_adequacy_against_a_plain_cascade(spark):
+    from quernstone.plans.store import ASKED, BODIES
+
+    rnd = random.Random(4)
+    rows, want = [], {}
+    for q in range(400):
+        query = rnd.choice([*ASKED, "계약 얼마", "변경계약의 승인 상태", "절차", "금액 AB-12 얼마인가"])
+        own = [(rnd.choice(BODIES), rnd.choice(["text"] * 6 + ["csv_rows", "xlsx_sheet"]), rnd.random() < 0.5, rnd.randrange(2), rnd.random() < 0.1, rnd.random() < 0.3) for _ in range(rnd.randint(1, 4))]
+        want[q] = plain_adequacy(query, own)
+        rows += [(q, query, n, "", *r) for n, r in enumerate(own)]
+    s = "query_id int, query string, unit_id int, title string, body string, locator_type string, partial boolean, document_id int, asserted boolean, stale boolean"
+    got = {r["query_id"]: (r["refusal"], r["n_evidence"]) for r in answer.adequacy(spark.createDataFrame(rows, s)).collect()}
+    assert got == want and len({r for r, _ in want.values()}) >= 7
+
+
+def test_locators_are_held_key_by_key(spark):
+    rows = [('{"a":{"b":1,"c":[1,2]},"d":"x"}', e) for e in ('[{"a":{"b":1}}]', '[{"a":{"c":[1,2]}}]', '[{"a":{"c":[1]}}]', '[{"z":1},{"d":"x"}]', "[]", '[{"a":{"b":2}}]', '[{"d":["x"]}]')] + [(None, "[{}]")]
+    got = [r[0] for r in spark.createDataFrame(rows, "a string, e string").select(evaluate.locator_matches("a", "e")).collect()]
+    assert got == [True, True, False, True, False, False, False, False]
+
+
+def test_gates_of_unknown_values_do_not_pass(spark):
+    one = spark.createDataFrame([(200, None, 1.0, 0, 0, 5.0)], "cases int, recall double, mrr double, failed int, unauthorized int, p95_ms double")
+    got = {r["gate"]: r["passed"] for r in evaluate.portable_gate(one).collect()}
+    assert got["recall"] is False and got["promote"] is False and got["cases"]
+    v = "variant string, recall double, unauthorized int, failed int, p95_ms double, metrics array<double>, fingerprint string, expected_fingerprint string"
+    rows = [(x, 0.9, 0, 0, 10.0, [1.0], "f", "f") for x in ("a", "b", "b")]  # a variant twice makes no second row
+    c = spark.createDataFrame([("a", "k", 0.5), ("b", "k", 0.5)], "variant string, category string, recall double")
+    assert {r["gate"]: r["passed"] for r in evaluate.recommendation(spark.createDataFrame(rows, v), c, "a", "b", ["k"]).collect()}["promote"]
+    assert not {r["gate"]: r["passed"] for r in evaluate.recommendation(spark.createDataFrame(rows, v), c, "a", "b", ["k", "l"]).collect()}["promote"]
+
+
+def test_rendered_blocks(spark):
+    from quernstone.operators import content
+
+    rows = [('{"text":"","content":"c"}',), ('{"rows":[[{"text":"a"},{"text":"b"}],[{"text":"c"}]]}',), ('{"imageData":{}}',), ("not json",), (None,)]
+    got = [r["body"] for r in content.rendered(spark.createDataFrame(rows, "block string")).collect()]
+    assert got == ["c", "a\tb\nc", "[image: unnamed]", "", ""]
+
+
+def test_batches_by_length(spark):
+    from quernstone.operators import content
+
+    d = spark.createDataFrame([("x" * (i * 37 % 101),) for i in range(100)], "body string")
+    parts = content.by_length(d, parts=3).select(F.spark_partition_id().alias("p"), F.length("body").alias("n")).collect()
+    by = {}
+    for r in parts:
+        by.setdefault(r["p"], []).append(r["n"])
+    assert all(v == sorted(v) for v in by.values()) and len(parts) == 100
+
+
+def test_one_workspace(spark):
+    from quernstone.operators import content
+
+    d = spark.createDataFrame([("a", 1), ("b", 2)], "workspace_id string, x int")
+    assert [r["x"] for r in content.in_workspace(d, "b").collect()] == [2]
+
+
+def test_normal_forms(spark):
+    texts = ["  a\tb\x00c \x1f d ", "ｆｕｌｌ　ＷＩＤＴＨ", "Straße", "", None, "Ünï \x85 x", "PLAIN ascii\n"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.normalize_text("t").alias("a"), T.normalize_name("t").alias("b")).orderBy("i").collect()
+    import unicodedata
+
+    for t, r in zip(texts, got, strict=True):
+        assert r["a"] == (None if t is None else " ".join(unicodedata.normalize("NFKC", t.replace("\x00", " ")).split()))
+        if t is None or "\x00" not in t:
+            assert r["b"] == (None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()).casefold())
+
+
+def test_whole_bodies_are_searched(spark):
+    u = spark.createDataFrame([(1, "filler " * 3000 + "needle"), (2, "filler")], "unit_id int, body string")
+    q = spark.createDataFrame([(1, "needle")], "query_id int, query string")
+    assert [r["unit_id"] for r in lexical.bm25(u, q, 5).collect()] == [1]
+
+
+def test_paths_through_hubs(spark):
+    e = spark.createDataFrame([("h%d" % i, f"x{i}", "hub") for i in range(50)] + [("a", "start", "hub"), ("b", "hub", "mid"), ("c", "mid", "end"), ("d", "start", "end")], "id string, subject_id string, object_id string")
+    pairs = spark.createDataFrame([("start", "end")], "start_id string, end_id string")
+    got = [r["edge_ids"] for r in graph.paths(e, pairs, 3).orderBy("position").collect()]
+    assert got == [["d"], ["a", "b", "c"]] and graph.paths(e, pairs, 2).count() == 1
 
 
 def test_fuzzy(spark):

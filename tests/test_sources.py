@@ -52,7 +52,7 @@ def test_scan_and_parse(spark, folder):
     assert [r["body"] for r in by["b.docx"]] == ["Hello", "a | b", "Top"]
     assert [r["unit_type"] for r in by["c.pptx"]] == ["slide", "notes"] and json.loads(by["c.pptx"][0]["locator"])["hidden"]
     assert by["d.xlsx"][0]["body"] == "name\nAnn" and by["d.xlsx"][0]["title"] == "S"
-    assert by["e.csv"][0]["body"] == "x;y\n1;2\n3;4;5" and json.loads(by["e.csv"][0]["locator"])["ragged"] == 1
+    assert by["e.csv"][0]["body"] == "# note\nx;y\n1;2\n3;4;5" and json.loads(by["e.csv"][0]["locator"])["ragged"] == 3
     assert by["f.txt"][0]["status"] == "failed" and by["g.docx"][0]["status"] == "failed"
     cells = {(r["row"], r["col"]): (r["value"], r["type"], r["formula"]) for r in files.xlsx_range(found.where("extension = 'xlsx'"), "S", "A2:B2").collect()}
     assert cells == {(2, 1): ("Ann", "string", None), (2, 2): ("14", "number", "B1*2")}
@@ -143,3 +143,16 @@ def test_cursor_source(spark, tmp_path):
     run(spark.readStream.format("cursor").option("path", str(tmp_path)).load(), "pulled")
     got = {r["thread"]: (r["body"], r["is_deleted"]) for r in cursor.threads(spark.table("pulled")).collect()}
     assert got == {"t": ("one\n\ntwo", False), "d": ("", True)}
+
+
+def test_csv_keeps_rows_and_quotes():
+    (u,) = parsers.csv_units(b'tag,n\n#rust,3\n"a\n\nb",1\n"x, y",2\n')
+    assert u[2] == 'tag,n\n#rust,3\n"a\n\nb",1\n"x, y",2' and not u[3]["partial"]
+    many = list(parsers.csv_units(("a,b\n" + "1234567890,1234567890\n" * 500).encode()))
+    assert len(many) > 1 and all(m[3]["partial"] for m in many)
+
+
+def test_a_report_is_whole(spark, tmp_path):
+    assert sinks.report(spark.range(3), str(tmp_path / "r")).count("\n") == 4
+    with pytest.raises(ValueError):
+        sinks.report(spark.range(30), str(tmp_path / "s"), most=20)
