@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyarrow.compute import sort_indices
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quernstone.operators.blocks import meet
+from quernstone.operators.blocks import BOUND, meet
 from quernstone.operators.lexical import ranked
 
+#: Bytes of query vectors that go to every task, at most.
+QUERY_BYTES = 32 << 20
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -26,13 +35,55 @@ def cosine(a: Column, b: Column) -> Column:
 def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
     """query_id, key, score, rank: the best k of ``vectors`` (key, embedding) for each of ``queries`` (query_id, q).
 
-    Norms are taken once a row and a query, and the k best of each task meet in the last window.
+    A query set of BOUND rows and QUERY_BYTES or less, which is measured first, goes to every task as a matrix, and batches of rows meet it
+    in matrix products, each leaving its k best. A larger one meets rows in blocks. Rows of another dimension than a query's don't meet it.
     """
-    rows = vectors.select(key, "embedding", norm(F.col("embedding")).alias("_n"))
-    asked = queries.select("query_id", "q", norm(F.col("q")).alias("_m"))
-    pairs = meet(rows, asked, key, F.size("embedding") == F.size("q"))
-    score = F.when(F.col("_n") * F.col("_m") == 0, 0.0).otherwise(dot(F.col("embedding"), F.col("q")) / (F.col("_n") * F.col("_m")))
-    return ranked(pairs.select("query_id", key, F.round(score, 6).alias("score")), k, key)
+    n, size = queries.limit(BOUND + 1).agg(F.count("*"), F.coalesce(F.sum(F.size("q")), F.lit(0))).first()
+    if n > BOUND or 8 * size > QUERY_BYTES:
+        rows = vectors.select(key, "embedding", norm(F.col("embedding")).alias("_n"))
+        asked = queries.select("query_id", "q", norm(F.col("q")).alias("_m"))
+        pairs = meet(rows, asked, key, F.size("embedding") == F.size("q"))
+        score = F.when(F.col("_n") * F.col("_m") == 0, 0.0).otherwise(dot(F.col("embedding"), F.col("q")) / (F.col("_n") * F.col("_m")))
+        return ranked(pairs.select("query_id", key, F.round(score, 6).alias("score")), k, key)
+    by_dim: dict[int, tuple[list, np.ndarray]] = {}
+    for r in queries.where("q is not null").select("query_id", F.col("q").cast("array<double>").alias("q")).collect():
+        by_dim.setdefault(len(r["q"]), ([], []))[0].append(r["query_id"])
+        by_dim[len(r["q"])][1].append(r["q"])
+    asked = {d: (ids, _unit(np.array(q, float).reshape(len(ids), d))) for d, (ids, q) in by_dim.items()}
+    kinds = [queries.schema["query_id"].dataType, vectors.schema[key].dataType]
+    ids_kind = T.StructType([T.StructField("query_id", kinds[0])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["query_id", key, "score"]
+        for b in batches:
+            b = b.take(sort_indices(b.column(0)))  # ties go to the smaller key
+            keys, col = b.column(0), b.column(1)
+            sizes, at = np.diff(col.offsets.to_numpy()), col.offsets.to_numpy()
+            flat = col.values.to_numpy(zero_copy_only=False)
+            for d, (ids, q) in asked.items():
+                own = np.nonzero(sizes == d)[0]
+                if not len(own):
+                    continue
+                s = np.round(q @ _unit(flat[at[own][:, None] + np.arange(d)]).T, 6)
+                floor = np.partition(s, max(0, len(own) - k), axis=1)[:, max(0, len(own) - k)]
+                which, place = [], []
+                for i in range(len(ids)):
+                    c = np.nonzero(s[i] >= floor[i])[0]
+                    c = c[np.argsort(-s[i, c], kind="stable")][:k]
+                    which.append(np.full(len(c), i))
+                    place.append(c)
+                which, place = np.concatenate(which), np.concatenate(place)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in which], b.schema.field(2).type), keys.take(pa.array(own[place])), pa.array(s[which, place])], names=names)
+
+    rows = vectors.where("embedding is not null").select(F.col(key), F.col("embedding").cast("array<double>").alias("embedding"), F.lit(None).cast(ids_kind["query_id"].dataType).alias("_q"))
+    found = rows.mapInArrow(run, T.StructType([T.StructField("query_id", kinds[0]), T.StructField(key, kinds[1]), T.StructField("score", T.DoubleType())]))
+    return ranked(found, k, key)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows by their norms; rows of norm 0 stay 0."""
+    n = np.sqrt((x * x).sum(1, keepdims=True))
+    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
 def pending(units: DataFrame, vectors: DataFrame, key: str = "unit_id") -> DataFrame:

@@ -1,49 +1,54 @@
-"""A streaming source for services that are pulled by cursor: messages after the last one seen.
+"""A streaming source for services that are pulled by cursor: what has come since the last pull.
 
 Register with spark.dataSource.register(CursorSource) and read with format("cursor") and option("path", ...): files of JSON lines with
-uid, and the thread, text and deletion of a message. The offset is the highest uid of what has been read.
+uid, and the thread, text and deletion of a message, which pullers add whole lines or files to. The offset is how far each file has been read;
+the driver only looks at sizes, and each file's new lines are a task's to read.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 SCHEMA = "uid bigint, thread string, text string, deleted boolean"
 
 
-def _messages(path: str) -> Iterator[dict]:
-    for p in sorted(Path(path).glob("*.jsonl")):
-        for line in p.read_text().splitlines():
-            if line.strip():
-                yield json.loads(line)
+@dataclass
+class NewLines(InputPartition):
+    path: str
+    start: int
+    end: int
 
 
-class CursorReader(SimpleDataSourceStreamReader):
+class CursorReader(DataSourceStreamReader):
     def __init__(self, path: str) -> None:
         self.path = path
 
     def initialOffset(self) -> dict:
-        return {"uid": -1}
+        return {}
 
-    def _rows(self, after: int, upto: int | None = None) -> list[tuple]:
-        rows = [(m["uid"], m.get("thread"), m.get("text"), bool(m.get("deleted"))) for m in _messages(self.path)]
-        return sorted(r for r in rows if r[0] > after and (upto is None or r[0] <= upto))
+    def latestOffset(self) -> dict:
+        return {p.name: p.stat().st_size for p in sorted(Path(self.path).glob("*.jsonl"))}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows = self._rows(start["uid"])
-        return iter(rows), {"uid": max((r[0] for r in rows), default=start["uid"])}
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [NewLines(f"{self.path}/{name}", start.get(name, 0), size) for name, size in end.items() if size > start.get(name, 0)]
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter(self._rows(start["uid"], end["uid"]))
+    def read(self, partition: NewLines) -> Iterator[tuple]:
+        with open(partition.path, "rb") as f:
+            f.seek(partition.start)
+            while f.tell() < partition.end and (line := f.readline()):
+                if line.strip():
+                    m = json.loads(line)
+                    yield m["uid"], m.get("thread"), m.get("text"), bool(m.get("deleted"))
 
-    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [InputPartition(None)]
+    def commit(self, end: dict) -> None:
+        pass
 
 
 class CursorSource(DataSource):
@@ -54,7 +59,7 @@ class CursorSource(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
-    def simpleStreamReader(self, schema) -> CursorReader:
+    def streamReader(self, schema) -> CursorReader:
         return CursorReader(self.options["path"])
 
 

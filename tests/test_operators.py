@@ -360,10 +360,19 @@ def test_large_query_sets_meet_rows_in_blocks(spark, monkeypatch):
     q = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(9)], "query_id int, q array<float>")
     key = lambda r: (r["query_id"], r["rank"])
     want = sorted(vector.cosine_topk(e, q, 4).collect(), key=key)
+    monkeypatch.setattr(vector, "BOUND", 3)  # no matrix of all queries
+    assert sorted(vector.cosine_topk(e, q, 4).collect(), key=key) == want
     monkeypatch.setattr(blocks, "BOUND", 3)
     assert sorted(vector.cosine_topk(e, q, 4).collect(), key=key) == want
 
 
+def test_cosine_of_odd_vectors(spark):
+    e = spark.createDataFrame([(3, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 0.0]), (4, [1.0]), (5, None)], "vec_id long, embedding array<float>")
+    q = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 0.0]), ("c", None), ("d", [3.0])], "query_id string, q array<float>")
+    got = [(r["query_id"], r["vec_id"], r["score"], r["rank"]) for r in vector.cosine_topk(e, q, 2).orderBy("query_id", "rank").collect()]
+    assert got == [("a", 1, 1.0, 1), ("a", 3, 1.0, 2), ("b", 1, 0.0, 1), ("b", 2, 0.0, 2), ("d", 4, 1.0, 1)]
+
+
 def test_aliases_looked_up_by_word_or_compared(spark):
     q = spark.createDataFrame([(1, "Orders of Acme Corp"), (2, "xacme corp")], "query_id int, query string")
     a = spark.createDataFrame([(7, "acme corp"), (8, "corp"), (9, "")], "entity_id int, alias string")
