@@ -28,6 +28,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores as many as it takes to be no column of ``df`` in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The same rows, read back from Parquet in the shared folder: cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/quernstone-{uuid.uuid4().hex}"

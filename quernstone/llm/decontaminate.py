@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import durable
+from quernstone.llm.common import durable, free
 
 SHINGLE, SHARE = 5, 0.8
 
@@ -93,8 +93,9 @@ def report(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame
 def clean(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no item."""
     k1, k2 = _key()
-    bad = durable(contaminated(docs, items, share).select(F.col("k1").alias("__hit_k1"), F.col("k2").alias("__hit_k2")).distinct())
-    return docs.join(bad, (k1 == F.col("__hit_k1")) & (k2 == F.col("__hit_k2")), "left_anti")
+    hit1, hit2 = free(docs, "hit1"), free(docs, "hit2")
+    bad = durable(contaminated(docs, items, share).select(F.col("k1").alias(hit1), F.col("k2").alias(hit2)).distinct())
+    return docs.join(bad, (k1 == bad[hit1]) & (k2 == bad[hit2]), "left_anti")
 
 
 ORACLE = r"""

@@ -11,7 +11,7 @@ the one in which the target falls, and only the documents of one range of those
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in the order of sources; a row without
 doc_id takes its place in the order by its text; rows alike in doc_id and size are interchangeable, of which some are
-taken and some not; a source whose documents are all empty has target 0; an empty table gives an empty result. Columns besides doc_id, text and
+taken and some not; a source whose documents are all empty has target 0; very long texts are counted whole; an empty table gives an empty result. Columns besides doc_id, text and
 source are not read, so their names cannot clash.
 """
 

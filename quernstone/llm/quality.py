@@ -1,7 +1,8 @@
 """Quality of documents: random Fourier features of document statistics, ridge scores, isotonic calibration.
 
 Statistics of the whole text (lengths, character classes, repeated words and lines) are standardised and mapped to cosine
-features that approximate a Gaussian kernel. Each partition sums its part of the normal equations; the sum of the
+features that approximate a Gaussian kernel; beside the cosines the ridge has the standardised statistics themselves, clipped, as linear
+terms, and a constant. Each partition sums its part of the normal equations; the sum of the
 parts gives the ridge weights. Scores of labelled rows that the ridge has not seen are binned, and isotonic regression
 over the bins turns scores into probabilities.
 
@@ -10,7 +11,7 @@ calibration, and those of remainder 0 are held out. Both fits take at most about
 
 Defined cases: a null text is empty, and empty texts get the statistics of no words; a null doc_id is scored and not
 held out; labels that contradict each other for a doc_id are averaged; a null label is none; without usable labels
-of both kinds every score is 0.5; repeated rows are scored each; an empty table gives an empty result. Labels,
+of both kinds every score is 0.5; repeated rows are scored each; very long texts are read whole; an empty table gives an empty result. Labels,
 lang, source and doc_id are no inputs of a score, and columns other than doc_id and text are not read.
 """
 

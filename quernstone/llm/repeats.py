@@ -1,7 +1,10 @@
 """Bytes that repeat: depth-limited radix passes over suffixes of documents, equal groups being the repeated windows.
 
-A window is the string of DEPTH bytes at a place of a document. Windows are put in order as a most-significant-digit radix sort
-would, by digits that are chosen so that all windows of a stretch share them, and no pass goes deeper than DEPTH bytes:
+A window is the string of DEPTH bytes at a place of a document. Groups of windows are refined digit by digit, from the most significant digit
+on; a group of one is dropped at once, no pass looks beyond DEPTH bytes, and what is together after the last one are exactly the repeated
+windows. The order of significance is from a window's anchor outwards, not from left to right: the anchor's 32 bytes, then what all windows of a
+block share (169 bytes for blocks of 32 windows, 197 for 4), then all 200. Neighbouring windows share these digits, so that a pass has a row for
+each block. Passes from left to right would need a row for each byte of the corpus in the first of them: README has the figures.
 
 1. The first digit of a window is its least k-mer (by hash, the leftmost if alike). Neighbouring windows share it; a run
    of windows with the same one is one row: about one row in a hundred windows. Windows can only be equal if their first

@@ -56,3 +56,47 @@ def test_queries_equal_their_sql(spark, sf, name):
 
 def test_every_operator_has_one_query():
     assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, PII string, Hit1 string, k long, Node int, taken int, own_k int, root int, size int, W array<int>, BAD_ID long, fold int, near_id int"
+
+
+def odd_rows():
+    text = " ".join(f"word{i}" for i in range(60))
+    more = (None,) * 12
+    rows = [(1, text, "en", "a"), (1, text, "en", "a"), (2, text, None, None), (None, text, "en", None), (None, None, None, None), (3, None, "en", "b"), (4, "", "en", "b"), (5, " \n", "de", "b")]
+    rows += [(6, "mail me@example.org now " * 3, "en", "a"), (6, "another text of the same id", "en", "a"), (7, "x1 " * 50_000, "en", "a"), (8, text.upper(), "en", "c")]
+    return [(*r, len(r[1] or ""), *more) for r in rows]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_rows(spark, sf, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    docs = spark.createDataFrame(odd_rows(), ODD).repartition(3)
+    got = stage(spark, docs, sf)
+    rows = got.collect()
+    ids = sorted((str(r["doc_id"]) for r in rows))
+    if name == "mixing":
+        assert got.columns == ["doc_id", "size", "source_size", "target", "taken"] and all(r["taken"] > 0 for r in rows)
+    else:
+        assert got.columns == docs.columns and got.schema == docs.schema
+    if name == "near_duplicates":
+        # one of each group: the 60 words (1, 2, 8), texts without words (3, 4, 5), and each by itself; those without doc_id stay
+        assert ids == ["1", "3", "6", "6", "7", "None", "None"]
+    if name == "decontamination":
+        assert len(rows) == len(odd_rows())
+    if name == "personal_data":
+        assert len(rows) == len(odd_rows()) and [r["text"] for r in rows if r["doc_id"] == 6 and "mail" in r["text"]] == ["mail [EMAIL] now " * 3]
+        assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in rows)
+    none = stage(spark, docs.where("false"), sf)
+    assert none.count() == 0 and none.columns == got.columns
+
+
+def test_queries_without_documents(spark, tmp_path):
+    empty = tmp_path / "none"
+    schemas = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string", "embeddings": "vec_id long, embedding array<float>, label int", "pages": "page_id long, url string, html string"}
+    for n, s in schemas.items():
+        spark.createDataFrame([], s).write.parquet(str(empty / f"{n}.parquet"))
+    for name, q in queries.QUERIES.items():
+        assert q(spark, str(empty)).count() == 0, name
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
