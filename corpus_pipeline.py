@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import durable, table
+from quernstone.llm.common import durable, free, table
 from quernstone.llm.decontaminate import clean
 from quernstone.llm.mixing import mix
 from quernstone.llm.near_copies import near_copies, row_key
@@ -25,8 +25,9 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     scored = quality(docs, table(spark, sf_dir, "labels"))
     # rows that share a doc_id go together, by the best of them
-    bad = durable(scored.where("doc_id is not null").groupBy(F.col("doc_id").alias("__bad_id")).agg(F.max("predicted").alias("__kept")).where("__kept = 0").select("__bad_id"))
-    return docs.join(bad, docs["doc_id"] == bad["__bad_id"], "left_anti")
+    out = free(docs, "bad_id")
+    bad = durable(scored.where("doc_id is not null").groupBy(F.col("doc_id").alias(out)).agg(F.max("predicted").alias("best")).where("best = 0").select(out))
+    return docs.join(bad, docs["doc_id"] == bad[out], "left_anti")
 
 
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,11 +38,12 @@ def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     groups = near_copies(docs)
     # rows of one doc_id with different texts are judged apart
-    first = durable(groups.groupBy("root").agg(F.min(F.struct("doc_id", "k")).alias("e")).select(F.col("e.doc_id").alias("__near_id"), F.col("e.k").alias("__near_k")))
+    near_id, near_k, own_k = free(docs, "near_id"), free(docs, "near_k"), free(docs, "own_k")
+    first = durable(groups.groupBy("root").agg(F.min(F.struct("doc_id", "k")).alias("e")).select(F.col("e.doc_id").alias(near_id), F.col("e.k").alias(near_k)))
     # one exchange of the texts at every size; rows that repeat a doc_id and text lie side by side after it, and one stays
-    known = docs.where("doc_id is not null").withColumn("__own_k", row_key())
-    same = (F.col("doc_id") == F.col("__near_id")) & (F.col("__own_k") == F.col("__near_k"))
-    kept = known.join(first.hint("merge"), same).drop("__near_id", "__near_k").dropDuplicates(["doc_id", "__own_k"]).drop("__own_k")
+    known = docs.where("doc_id is not null").withColumn(own_k, row_key())
+    same = (F.col("doc_id") == F.col(near_id)) & (F.col(own_k) == F.col(near_k))
+    kept = known.join(first.hint("merge"), same).drop(near_id, near_k).dropDuplicates(["doc_id", own_k]).drop(own_k)
     return kept.unionByName(docs.where("doc_id is null"))
 
 
@@ -57,11 +59,11 @@ def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with [KIND] for each piece of personal data, and n_chars of the new text.
 
-    Null texts stay null, with n_chars 0 as for empty ones; every row is kept, repeated ones and those without doc_id too; long texts are
+    Null texts stay null, and so does their n_chars; every row is kept, repeated ones and those without doc_id too; long texts are
     read whole; an empty table gives none. A column named pii, in any case of letters, keeps its name and content.
     """
     hidden = annotate(docs, redact=True)
-    return hidden.select(*[F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    return hidden.select(*[F.length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
