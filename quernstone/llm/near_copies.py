@@ -125,10 +125,10 @@ def _marked(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, k long, node long, bands array<long>, fp array<long>, size int")
 
 
-def _parts(rows: DataFrame) -> DataFrame:
-    """``rows`` (v, node, ...) with parts: how many its band value's are dealt into, and p: its own."""
-    parts = durable(rows.groupBy("v").agg(F.ceil(F.sqrt(F.count("*")) / SPREAD).cast("int").alias("parts")).where("parts > 1"))
-    return rows.join(parts, "v", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+def _shared(rows: DataFrame) -> DataFrame:
+    """``rows`` (node, t, v) of band values that several nodes have, with parts: how many a value's nodes are dealt into, and p: the node's own."""
+    common = durable(rows.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").select("v", F.ceil(F.sqrt("n") / SPREAD).cast("int").alias("parts")))
+    return rows.join(common, "v").withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
 
 
 def _next(lists: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def _next(lists: DataFrame) -> DataFrame:
 
 
 def _chained(rows: DataFrame) -> DataFrame:
-    lists = _parts(rows).groupBy("v", "p").agg(F.sort_array(F.collect_list("node")).alias("a"), F.max("parts").alias("parts")).where("parts > 1 or size(a) > 1")
+    lists = rows.groupBy("v", "p").agg(F.sort_array(F.collect_list("node")).alias("a"), F.max("parts").alias("parts")).where("parts > 1 or size(a) > 1")
     lists = durable(lists)
     heads = lists.where("parts > 1").groupBy("v").agg(F.sort_array(F.collect_list(F.col("a")[0])).alias("a"))
     return _next(lists).unionByName(_next(heads)).distinct()
@@ -178,9 +178,9 @@ def _alike(a: list, b: list, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _between(rows: DataFrame) -> DataFrame:
-    """(u, v) of rows (t, v, node, bands, fp, size, own, label) with an equal band t, none before, different labels, fingerprints within
+    """(u, v) of rows (t, v, parts, p, node, bands, fp, size, own, label) with an equal band t, none before, different labels, fingerprints within
     RADIUS, and sets that are alike as far as they are known."""
-    dealt = _parts(rows).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"i": F.least("p", "q"), "j": F.greatest("p", "q")})
+    dealt = rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"i": F.least("p", "q"), "j": F.greatest("p", "q")})
     row = F.struct("node", "label", "size", "fp", "bands", "own")
     tiles = dealt.groupBy("t", "v", "i", "j").agg(F.collect_list(F.when(F.col("p") == F.col("i"), row)).alias("a"), F.collect_list(F.when(F.col("p") != F.col("i"), row)).alias("b"))
 
@@ -238,25 +238,20 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, k (see row_key), root of each row with doc_id: rows of one group have the same root."""
     marked = durable(_marked(docs))
     nodes = durable(marked.groupBy("node").agg(F.min("k").alias("k"), *[F.first(c).alias(c) for c in ("bands", "fp", "size")]))
-    rows = nodes.select("node", F.posexplode("bands").alias("t", "v"))
-
-    def texts(met: DataFrame) -> DataFrame:
-        """(node, text) of the nodes ``met`` (node)."""
-        wanted = durable(nodes.join(met.distinct(), "node").select("node", F.col("k").alias("tk")))
-        keyed = docs.where("doc_id is not null").select(row_key().alias("tk"), F.col("text").cast("string").alias("text"))
-        return keyed.join(wanted, "tk").dropDuplicates(["tk"]).select("node", "text")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        return durable(_verified(pairs, durable(texts(pairs.select(F.explode(F.array("u", "v")).alias("node"))))))
+    rows = durable(_shared(nodes.select("node", F.posexplode("bands").alias("t", "v"))))
+    # all texts that any comparison reads: one exchange of the documents, the same one at every size
+    wanted = durable(nodes.join(rows.select("node").distinct(), "node", "left_semi").select("node", F.col("k").alias("tk")))
+    keyed = docs.where("doc_id is not null").select(row_key().alias("tk"), F.col("text").cast("string").alias("text"))
+    texts = durable(keyed.join(wanted.hint("merge"), "tk").dropDuplicates(["tk"]).select("node", "text"))
 
     close_by = durable(_near(durable(_chained(rows)), nodes))
-    links = verified(close_by)
+    links = durable(_verified(close_by, texts))
     roots = durable(connected(links))
-    labelled = durable(rows.join(roots, "node", "left").select("node", "t", "v", F.coalesce("root", "node").alias("label")))
+    labelled = durable(rows.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"))
     open_values = durable(labelled.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("v"))
     met = durable(labelled.join(open_values, "v"))
-    sets = durable(_sets(texts(met.select("node"))))
+    sets = durable(_sets(texts.join(met.select("node").distinct(), "node", "left_semi")))
     between = met.join(nodes.select("node", "bands", "fp", "size"), "node").join(sets, "node")
-    more = verified(durable(_between(between).join(close_by, ["u", "v"], "left_anti")))
+    more = durable(_verified(durable(_between(between).join(close_by, ["u", "v"], "left_anti")), texts))
     roots = durable(connected(links.unionByName(more)))
     return marked.join(roots, "node", "left").select("doc_id", "k", F.coalesce("root", "node").alias("root"))
