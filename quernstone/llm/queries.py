@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quernstone.llm.codes import ORACLE as CODES_SQL
+from quernstone.llm.codes import codes
 from quernstone.llm.common import table
 from quernstone.llm.decontaminate import ORACLE as DECONTAMINATE_SQL
 from quernstone.llm.decontaminate import report
@@ -17,6 +19,8 @@ from quernstone.llm.pii import digest
 from quernstone.llm.quality import quality
 from quernstone.llm.repeats import ORACLE as REPEATS_SQL
 from quernstone.llm.repeats import cut
+from quernstone.llm.resample import ORACLE as RESAMPLE_SQL
+from quernstone.llm.resample import resample
 from quernstone.llm.simhash import simhash
 from quernstone.llm.topk import ORACLE as TOPK_SQL
 from quernstone.llm.topk import topk
@@ -63,6 +67,14 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
@@ -74,6 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_pii": op9_pii,
     "op10_mix": op10_mix,
+    "op11_codes": op11_codes,
+    "op13_resample": op13_resample,
 }
 
 ORACLES: dict[str, str] = {
@@ -81,4 +95,6 @@ ORACLES: dict[str, str] = {
     "op4_topk": TOPK_SQL,
     "op7_repeats": REPEATS_SQL,
     "op10_mix": MIX_SQL,
+    "op11_codes": CODES_SQL,
+    "op13_resample": RESAMPLE_SQL,
 }
