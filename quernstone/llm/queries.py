@@ -12,6 +12,8 @@ from quernstone.llm.common import table
 from quernstone.llm.decontaminate import ORACLE as DECONTAMINATE_SQL
 from quernstone.llm.decontaminate import report
 from quernstone.llm.language import languages
+from quernstone.llm.minhash import ORACLE as MINHASH_SQL
+from quernstone.llm.minhash import near_duplicates
 from quernstone.llm.mixing import ORACLE as MIX_SQL
 from quernstone.llm.mixing import mix
 from quernstone.llm.passages import passages
@@ -71,6 +73,10 @@ def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes(table(spark, sf_dir, "embeddings"))
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_mix": op10_mix,
     "op11_codes": op11_codes,
+    "op12_minhash": op12_minhash,
     "op13_resample": op13_resample,
 }
 
@@ -96,5 +103,6 @@ ORACLES: dict[str, str] = {
     "op7_repeats": REPEATS_SQL,
     "op10_mix": MIX_SQL,
     "op11_codes": CODES_SQL,
+    "op12_minhash": MINHASH_SQL,
     "op13_resample": RESAMPLE_SQL,
 }
