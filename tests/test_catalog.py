@@ -11,7 +11,7 @@ from quernstone.plans import catalog
 
 def shaped(df: pd.DataFrame) -> pd.DataFrame:
     def text(v):
-        if v is None or v is pd.NaT or isinstance(v, float) and v != v:
+        if v is None or v is pd.NaT or v is pd.NA or isinstance(v, float) and v != v:
             return ""
         if hasattr(v, "__len__") and not isinstance(v, str):
             return str([str(x) for x in v])
