@@ -69,7 +69,8 @@ def stable_id(prefix: str, namespace: str, value: Column | str) -> Column:
     return F.concat(F.lit(f"{prefix}_"), F.substring(F.sha2(F.concat(F.lit(namespace), F.lit("\x00"), c(value).cast("string")), 256), 1, 32))
 
 
-def _grams(run: Column, n: int) -> Column:
+def ngrams(run: Column, n: int) -> Column:
+    """All runs of n characters, in order; none of a shorter text."""
     size = F.length(run)
     return F.when(size >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), size - (n - 1))), lambda i: run.substr(i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
@@ -78,7 +79,7 @@ def analyzer_tokens(text: Column | str, low: int = 2, high: int = 4) -> Column:
     """Index tokens, each once, by first place: tokens, and for each Hangul run in one the run and its n-grams."""
 
     def of_run(run: Column) -> Column:
-        return F.flatten(F.array(F.array(run), *[_grams(run, n) for n in range(low, high + 1)]))
+        return F.flatten(F.array(F.array(run), *[ngrams(run, n) for n in range(low, high + 1)]))
 
     def of_token(token: Column) -> Column:
         runs = F.flatten(F.transform(matches(token, HANGUL), of_run))
@@ -92,7 +93,7 @@ def bm25_tokens(text: Column | str) -> Column:
 
     def of_run(run: Column) -> Column:
         long = run.rlike(HANGUL) & (F.length(run) > 2)
-        return F.when(long, F.concat(F.array(run), _grams(run, 2))).otherwise(F.array(run))
+        return F.when(long, F.concat(F.array(run), ngrams(run, 2))).otherwise(F.array(run))
 
     return F.flatten(F.transform(matches(F.lower(c(text)), BM25_TOKEN), of_run))
 
@@ -114,7 +115,7 @@ def keywords(text: Column | str) -> Column:
 
 
 def bigrams(text: Column | str) -> Column:
-    return F.array_distinct(_grams(F.array_join(matches(F.lower(c(text)), KEYWORD_TOKEN), ""), 2))
+    return F.array_distinct(ngrams(F.array_join(matches(F.lower(c(text)), KEYWORD_TOKEN), ""), 2))
 
 
 def relevant(query: Column | str, body: Column | str) -> Column:
@@ -130,7 +131,7 @@ def trigrams(text: Column | str) -> Column:
     """Distinct trigrams of lower-case words, two blanks before and one behind each."""
     words = F.filter(F.split(F.lower(c(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     padded = F.transform(words, lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
-    return F.array_distinct(F.flatten(F.transform(padded, lambda p: _grams(p, 3))))
+    return F.array_distinct(F.flatten(F.transform(padded, lambda p: ngrams(p, 3))))
 
 
 def trigram_similarity(a: Column | str, b: Column | str) -> Column:

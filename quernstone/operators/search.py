@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
-from quernstone.operators import lexical, rank, vector
+from quernstone.operators import lexical, postings, rank, vector
 
 MODES = ("lexical", "vector", "hybrid", "reranked")
 #: Turns candidates (query_id, index, document) and queries into (query_id, index, score).
@@ -26,6 +26,8 @@ class Search:
     pool: int = 100
     depth: int = 40
     cap: int = 3
+    #: Stored postings of the units; without them each search reads their texts.
+    index: postings.Index | None = None
 
     def mode(self, wanted: str | None) -> str:
         """What was asked for; hybrid by default where there are vectors, else lexical."""
@@ -49,7 +51,8 @@ class Search:
         asked = queries.where(~T.blank_or_symbols("query"))
         lists = []
         if chosen != "vector":
-            lists.append(lexical.bm25(self.units, asked, pool).select(F.lit("lexical").alias("channel"), "query_id", "unit_id", "rank"))
+            found = lexical.bm25(self.units, asked, pool) if self.index is None else postings.bm25(self.index, asked, pool)
+            lists.append(found.select(F.lit("lexical").alias("channel"), "query_id", "unit_id", "rank"))
         if chosen != "lexical":
             found = vector.cosine_topk(self.vectors, asked.where("q is not null"), pool)
             lists.append(found.select(F.lit("vector").alias("channel"), "query_id", F.col("vec_id").alias("unit_id"), "rank"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
 from quernstone.operators import answer, evaluate, lexical
-from quernstone.operators.blocks import meet
-from quernstone.plans.registry import ASKED, UNITS, asked, query, table, units
+from quernstone.operators.postings import bm25
+from quernstone.plans.registry import ASKED, UNITS, asked, lexicon, query, stored, table, units
 from quernstone.plans.search import BM25_SQL
 
 #: Cases: each benchmark query's relevant documents are the good ones among the units it names by number, the toxic ones forbidden.
@@ -34,7 +34,7 @@ def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = lexical.bm25(units(spark, sf_dir), asked(spark, sf_dir), 30).select(F.col("query_id").alias("case_id"), (F.col("unit_id") % 100).alias("document_id"), "rank")
+    run = bm25(lexicon(spark, sf_dir, units(spark, sf_dir), "all"), asked(spark, sf_dir), 30).select(F.col("query_id").alias("case_id"), (F.col("unit_id") % 100).alias("document_id"), "rank")
     cases = _cases(spark, sf_dir)
     return evaluate.case_metrics(cases, run, 10).join(cases.select("case_id", "category"), "case_id")
 
@@ -107,15 +107,14 @@ def set_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("conv_id", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"))
 
 
-@query(r"""WITH k AS (SELECT item_id, list_distinct(regexp_extract_all(lower(array_to_string(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')[1:4], ' ')), '[0-9A-Za-z가-힣]{2,}')) AS w FROM benchmark),
+@query(r"""WITH k AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[0-9A-Za-z가-힣]{2,}')) AS w FROM benchmark),
 e AS (SELECT item_id, len(w) AS n, unnest(w) AS w FROM k),
 h AS (SELECT item_id, doc_id, n, count(*) AS c FROM e JOIN documents ON contains(lower(text), w) GROUP BY item_id, doc_id, n)
 SELECT item_id, count(*) AS relevant FROM h WHERE c >= least(2, n) GROUP BY item_id""")
 def keyword_relevance_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = asked(spark, sf_dir, 4).select(F.col("query_id").alias("item_id"), T.keywords("query").alias("w"))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("body"))
-    hits = meet(d, q, "doc_id", F.size(F.filter("w", lambda w: F.contains(F.col("body"), w))) >= F.least(F.lit(2), F.size("w")))
-    return hits.groupBy("item_id").agg(F.count("*").alias("relevant"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lit("").alias("title"), F.col("text").alias("body"), F.lit("").alias("file_name"))
+    index = stored(spark, sf_dir, "document words", lambda: lexical.word_index(d, "doc_id"))
+    return lexical.relevant_units(index, asked(spark, sf_dir)).groupBy(F.col("query_id").alias("item_id")).agg(F.count("*").alias("relevant"))
 
 
 @query("""WITH r AS (SELECT i AS request_id, i % 11 <> 0 AS enabled, CASE WHEN i % 3 = 0 THEN 'local' WHEN i % 3 = 1 THEN 'remote' END AS provider, i % 2 = 0 AS loopback, i % 5 <> 0 AS allow_remote, i % 7 <> 0 AS has_secret,
@@ -148,7 +147,7 @@ ld AS (SELECT query_id, arg_min(document_id, rank) AS document_id FROM h GROUP B
 o AS (SELECT query_id, unit_id, document_id, rank, body, coalesce(sum(length(body)) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h SEMI JOIN ld USING (query_id, document_id))
 SELECT query_id, unit_id, document_id, rank, substr(body, 1, CAST(3000 - before AS INT)) AS passage FROM o WHERE before < 3000""")
 def extractive_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = lexical.bm25(units(spark, sf_dir), asked(spark, sf_dir), 30).join(units(spark, sf_dir).select("unit_id", (F.col("unit_id") % 7).alias("document_id"), "body"), "unit_id")
+    hits = bm25(lexicon(spark, sf_dir, units(spark, sf_dir), "all"), asked(spark, sf_dir), 30).join(units(spark, sf_dir).select("unit_id", (F.col("unit_id") % 7).alias("document_id"), "body"), "unit_id")
     return answer.extractive(hits.drop("score"), 3000)
 
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernstone.functions import text as T
+from quernstone.operators.postings import Index, build
+from quernstone.sources.sinks import shared_dir
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -42,10 +48,26 @@ UNITS = """u AS (SELECT doc_id AS unit_id, doc_id % 100 AS document_id, text AS
 SEEN = UNITS + """, seen AS (SELECT * FROM u WHERE len(list_filter(acl_scopes, lambda s: NOT list_contains(['lang:en', 'lang:de', 'tier:0', 'tier:1'], s))) = 0)"""
 
 
-def asked(spark: SparkSession, sf_dir: str, words: int = 6) -> DataFrame:
-    """A query for each benchmark item: its first words."""
-    w = F.slice(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "), 1, words)
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(w, " ").alias("query"))
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query for each benchmark item: all of it."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.trim(F.regexp_replace("text", r"\s+", " ")).alias("query"))
+
+
+ASKED = r"""q AS (SELECT item_id AS query_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS query FROM benchmark)"""
+
+#: Indexes that this process has built, by application, tables and what they are of: built once, then searched.
+INDEXES: dict[tuple[str, str, str, str], Any] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` builds, once for the tables as they are now."""
+    known = (spark.sparkContext.applicationId, sf_dir, ",".join(sorted(table(spark, sf_dir, "documents").inputFiles())), name)
+    if known not in INDEXES:
+        INDEXES[known] = make()
+    return INDEXES[known]
 
 
-ASKED = r"""q AS (SELECT item_id AS query_id, array_to_string(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')[1:6], ' ') AS query FROM benchmark)"""
+def lexicon(spark: SparkSession, sf_dir: str, of: DataFrame, name: str) -> Index:
+    """The stored BM25 index of units ``of``."""
+    root = f"{shared_dir(spark)}/quernstone-index-{uuid.uuid4().hex}"
+    return stored(spark, sf_dir, f"lexicon {name}", lambda: build(Index(spark, root, T.bm25_tokens), of))

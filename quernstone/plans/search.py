@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
 from quernstone.operators import lexical, rank, vector
+from quernstone.operators.postings import bm25
 from quernstone.operators.visibility import filtered, fresh, visible
-from quernstone.plans.registry import ASKED, CONTEXT, SEEN, UNITS, asked, query, table, units
+from quernstone.plans.registry import ASKED, CONTEXT, SEEN, UNITS, asked, lexicon, query, stored, table, units
 
 BM25_SQL = """t AS (SELECT unit_id, list_transform(regexp_extract_all(lower(body), '[0-9A-Za-z]+|[가-힣]+'), lambda x: x) AS t FROM {src}),
 s AS (SELECT count(*) AS n, greatest(1.0, avg(len(t))) AS avgdl FROM t),
 p AS (SELECT unit_id, len(t) AS dl, unnest(t) AS term FROM t),
 tf AS (SELECT unit_id, term, count(*) AS tf, first(dl) AS dl FROM p GROUP BY unit_id, term),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-qt AS (SELECT query_id, unnest(list_distinct(regexp_extract_all(lower(query), '[0-9A-Za-z]+|[가-힣]+'))) AS term FROM q),
+qr AS (SELECT query_id, regexp_extract_all(lower(query), '[0-9A-Za-z]+|[가-힣]+') AS w FROM q),
+qi AS (SELECT query_id, unnest(w) AS term, unnest(range(len(w))) AS i FROM qr),
+qt AS (SELECT query_id, term FROM (SELECT query_id, term, min(i) AS i FROM qi GROUP BY query_id, term) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY length(term) DESC, i) <= 64),
 sc AS (SELECT query_id, unit_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
   FROM qt JOIN tf USING (term) JOIN df USING (term), s GROUP BY query_id, unit_id),
 bm AS (SELECT query_id, unit_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS INT) AS rank FROM sc)"""
@@ -70,12 +73,12 @@ def vocabulary_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {SEEN}, {ASKED}, {BM25_SQL.format(src='seen')} SELECT query_id, unit_id, score, rank FROM bm WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: BM25 over what the context may see, ten units for each query."""
-    return lexical.bm25(_seen(spark, sf_dir), asked(spark, sf_dir), 10)
+    return bm25(lexicon(spark, sf_dir, _seen(spark, sf_dir), "seen"), asked(spark, sf_dir), 10)
 
 
 @query(f"WITH {UNITS}, {ASKED}, {BM25_SQL.format(src='u')} SELECT query_id, count(*) AS matches, max(score) AS best FROM bm GROUP BY query_id")
 def bm25_batch_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.bm25(units(spark, sf_dir), asked(spark, sf_dir), None).groupBy("query_id").agg(F.count("*").alias("matches"), F.max("score").alias("best"))
+    return bm25(lexicon(spark, sf_dir, units(spark, sf_dir), "all"), asked(spark, sf_dir), None).groupBy("query_id").agg(F.count("*").alias("matches"), F.max("score").alias("best"))
 
 
 LEXICAL_SQL = r"""h AS (SELECT unit_id, lower(chr(10) || body || chr(10) || 'doc' || unit_id || '.txt') AS hay, 'doc' || unit_id || '.txt' AS file FROM seen),
@@ -89,14 +92,15 @@ sc AS (SELECT query_id, unit_id, CASE WHEN contains(first(hay), first(q)) THEN 1
 @query(f"WITH {SEEN}, {ASKED}, {LEXICAL_SQL}, r AS (SELECT query_id, unit_id, round(CAST(score AS DOUBLE), 6) AS score FROM sc) SELECT query_id, unit_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS INT) AS rank FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) <= 10")
 def lexical_score_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = _seen(spark, sf_dir).select("unit_id", F.lit("").alias("title"), "body", F.concat(F.lit("doc"), "unit_id", F.lit(".txt")).alias("file_name"))
-    return lexical.lexical_topk(u, asked(spark, sf_dir), 10)
+    return lexical.lexical_topk(u, asked(spark, sf_dir), 10, index=stored(spark, sf_dir, "words", lambda: lexical.word_index(u)))
 
 
 GRAMS_SQL = r"""list_distinct(flatten(list_transform(list_filter(string_split_regex(lower({x}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"""
 GATED_SQL = rf"""g AS (SELECT unit_id, 'doc-' || unit_id AS identifier, split_part(body, '.', 1) AS title, body, {GRAMS_SQL.format(x="split_part(body, '.', 1)")} AS grams FROM seen),
 a AS (SELECT query_id, lower(query) AS q, {GRAMS_SQL.format(x="query")} AS asked, list_distinct(regexp_extract_all(lower(trim(regexp_replace(query, '\s+', ' ', 'g'))), '[0-9A-Za-z가-힣_./:@+-]+')) AS terms FROM q),
 pr AS (SELECT query_id, unit_id, identifier, title, body, q, len(list_intersect(grams, asked)) AS b, len(grams) AS n, len(asked) AS m FROM g, a),
-tk AS (SELECT unit_id, unnest({{tokens}}) AS term FROM seen), aq AS (SELECT query_id, unnest(terms) AS term FROM a),
+tk AS (SELECT unit_id, unnest({{tokens}}) AS term FROM seen), ai AS (SELECT query_id, unnest(terms) AS term, unnest(range(len(terms))) AS i FROM a),
+aq AS (SELECT query_id, term FROM ai QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY length(term) DESC, i) <= 64),
 th AS (SELECT query_id, unit_id, count(*) AS hits FROM tk JOIN aq USING (term) GROUP BY query_id, unit_id),
 sc AS (SELECT query_id, unit_id, coalesce(b / nullif(n + m - b, 0), 0.0) AS sim, contains(lower(identifier), q) AS i, contains(lower(title), q) AS t, contains(lower(body), q) AS c, lower(identifier) = q AS same, coalesce(hits, 0) AS hits FROM pr LEFT JOIN th USING (query_id, unit_id)),
 fs AS (SELECT query_id, unit_id, round(CAST(CASE WHEN same THEN 30 ELSE 0 END + CASE WHEN t THEN 10 ELSE 0 END + CASE WHEN c THEN 6 ELSE 0 END + hits AS DOUBLE) + 2 * sim, 6) AS score FROM sc WHERE i OR t OR c OR hits > 0 OR sim >= 0.15)"""
@@ -106,7 +110,7 @@ fs AS (SELECT query_id, unit_id, round(CAST(CASE WHEN same THEN 30 ELSE 0 END +
 def gated_lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The store's lexical search: five arms and their score, titles being first sentences."""
     u = _seen(spark, sf_dir).select("unit_id", F.concat(F.lit("doc-"), "unit_id").alias("identifier"), F.split_part("body", F.lit("."), F.lit(1)).alias("title"), "body")
-    return lexical.gated_topk(u, asked(spark, sf_dir), 10)
+    return lexical.gated_topk(u, asked(spark, sf_dir), 10, stored=stored(spark, sf_dir, "gate", lambda: lexical.gate(u)))
 
 
 TRIGRAM_SQL = r"""list_distinct(flatten(list_transform(list_filter(string_split_regex(lower({x}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"""
@@ -180,7 +184,7 @@ rr AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = asked(spark, sf_dir)
-    lex = lexical.bm25(units(spark, sf_dir), q, 50).select(F.lit("lexical").alias("channel"), "query_id", "unit_id", "rank")
+    lex = bm25(lexicon(spark, sf_dir, units(spark, sf_dir), "all"), q, 50).select(F.lit("lexical").alias("channel"), "query_id", "unit_id", "rank")
     e = table(spark, sf_dir, "embeddings")
     vq = e.join(q, e["vec_id"] == q["query_id"], "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     vec = vector.cosine_topk(e, vq, 50).select(F.lit("vector").alias("channel"), "query_id", F.col("vec_id").alias("unit_id"), "rank")
@@ -213,7 +217,7 @@ POOL_SQL = f"""{UNITS}, {ASKED}, {BM25_SQL.format(src="u")}, pool AS (SELECT que
 
 
 def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.bm25(units(spark, sf_dir), asked(spark, sf_dir), 40).select("query_id", "unit_id", (F.col("unit_id") % 7).alias("document_id"), "rank")
+    return bm25(lexicon(spark, sf_dir, units(spark, sf_dir), "all"), asked(spark, sf_dir), 40).select("query_id", "unit_id", (F.col("unit_id") % 7).alias("document_id"), "rank")
 
 
 @query(f"""WITH {POOL_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id, document_id ORDER BY rank) > 3 AS diversity_backfill FROM pool),
