@@ -7,7 +7,7 @@ share none (0.738 ** 40), at 0.85 six in a thousand million.
 
 Documents with the same set are one node. In a bucket every node is a candidate with the bucket's centre alone, a star, so that n nodes give
 n - 1 pairs and not n * n. Pairs are confirmed on the full sets. A star misses links between nodes that aren't linked with its centre:
-buckets whose nodes are in several components then get other centres, a different one in each bucket, for STARS rounds. What even these
+buckets whose nodes aren't all linked then get another centre, a different one in each bucket. What even these
 leave in several components is joined exactly: sets of nodes in such buckets, in an order from rare to frequent shingles, must share one of the first
 n - ceil(0.8 n) + 1 if their similarity is 0.8 or more (prefix filter), at places that leave room for enough others (positional filter). Pairs
 within a component aren't looked at again, so no group is compared all with all because its members are alike.
@@ -34,8 +34,6 @@ from quernstone.llm.common import connected, durable
 SHARE = 80
 BANDS, ROWS = 40, 6
 BINS = BANDS * ROWS
-#: Rounds in which open buckets get new centres.
-STARS = 3
 #: Shingles of the exact join are ordered by how often one with the same last bits occurs.
 ORDER_BITS = 18
 #: Nodes of one shingle are dealt into sqrt(nodes) / SPREAD parts; rows of a part that are compared at a time.
@@ -240,15 +238,21 @@ def _joined(rows: DataFrame) -> DataFrame:
     return tiles.select("a", "b").mapInArrow(run, "u long, v long").distinct()
 
 
-def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """``rows`` (bucket, node, n) of buckets with several components, with the label of each node's component."""
-    roots = durable(connected(links))
+def _hops(links: DataFrame) -> DataFrame:
+    """(node, root): the least node within two links, by two aggregations: nodes of one root are in one component, though not all of a component have one root."""
+    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    near = durable(both.groupBy(F.col("u").alias("node")).agg(F.least("u", F.min("v")).alias("root")))
+    return near.join(near.select(F.col("node").alias("root"), F.col("root").alias("far")), "root", "left").select("node", F.least("root", "far").alias("root"))
+
+
+def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, node, n, label) of ``rows`` in buckets whose nodes have several roots; label: the root of each."""
     named = durable(rows.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("label")))
     several = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
     return durable(named.join(durable(several), "bucket", "left_semi"))
 
 
-def classes(docs: DataFrame, nodes: DataFrame, stars: int = STARS) -> DataFrame:
+def classes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, root) of the nodes (node, k, n, bands) that are linked with another; root: the same for one component."""
     each = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     shared = each.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket")
@@ -257,17 +261,24 @@ def classes(docs: DataFrame, nodes: DataFrame, stars: int = STARS) -> DataFrame:
 
     met = durable(_star(rows.withColumn("label", F.col("node")), F.col("node")))
     links = durable(_confirmed(met, sets))
-    for k in range(stars):
-        open_ = _labelled(rows, links)
-        if open_.isEmpty():
-            return connected(links)
-        rows = open_.drop("label")
-        new = durable(_star(open_, F.xxhash64("node", "bucket", F.lit(k))).join(met, ["u", "v"], "left_anti"))
-        met = durable(met.unionByName(new))
-        links = durable(links.unionByName(_confirmed(new, sets)))
-    left = _labelled(rows, links).select("node", "label").distinct()
-    rest = durable(_joined(durable(_prefixes(durable(sets.join(left, "node"))))).join(met, ["u", "v"], "left_anti"))
-    return connected(links.unionByName(_confirmed(rest, sets)))
+    # another centre in each bucket
+    open_ = _open(rows, durable(_hops(links)))
+    new = durable(_star(open_, F.xxhash64("node", "bucket")).join(met, ["u", "v"], "left_anti"))
+    links = links.unionByName(durable(_confirmed(new, sets)))
+    roots = durable(connected(links))
+    left = durable(_open(open_.drop("label"), roots).select("node", "label").distinct())
+    if left.isEmpty():
+        return roots
+    pairs = _joined(durable(_prefixes(sets.join(left, "node"))))
+    rest = durable(_confirmed(durable(pairs.join(met.unionByName(new), ["u", "v"], "left_anti")), sets))
+    if rest.isEmpty():
+        return roots
+    # components of components
+    ends = [left.select(F.col("node").alias(c), F.col("label").alias(f"{c}_")) for c in "uv"]
+    over = durable(connected(rest.join(ends[0], "u").join(ends[1], "v").select(F.col("u_").alias("u"), F.col("v_").alias("v"))))
+    every = roots.unionByName(over.select("node", F.col("node").alias("root"))).unionByName(over.select(F.col("root").alias("node"), "root")).distinct()
+    top = over.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return every.join(top, "root", "left").groupBy("node").agg(F.min(F.coalesce("top", "root")).alias("root"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
