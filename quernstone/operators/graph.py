@@ -78,16 +78,21 @@ def contradictions(edges: DataFrame) -> DataFrame:
     return a.join(b, ["subject_id", "predicate"]).where((F.col("a_id") < F.col("b_id")) & (F.col("a_object_id") != F.col("b_object_id")) & same_time).select("a_id", "b_id")
 
 
-def closure(types: DataFrame, depth: int = 16) -> DataFrame:
-    """type, ancestor, distance (0 for itself) from (type, parent): who is what."""
-    step = types.where("parent is not null").select(F.col("type").alias("ancestor"), "parent")
-    now = types.select("type", F.col("type").alias("ancestor")).distinct().withColumn("distance", F.lit(0))
-    # names of types: as many as an ontology has
-    out, names = now, types.count()
-    for n in range(1, min(depth, names) + 1):
-        now = now.join(step, "ancestor").select("type", F.col("parent").alias("ancestor"), F.lit(n).alias("distance"))
-        out = out.unionByName(now)
-    return out.groupBy("type", "ancestor").agg(F.min("distance").alias("distance"))
+def closure(types: DataFrame) -> DataFrame:
+    """type, ancestor, distance (0 for itself) from (type, parent): who is what, however long the chain; a circle ends where it began.
+
+    Each round joins the pairs found so far with themselves, so that chains of twice the length are covered, until none is new.
+    """
+    steps = types.where("parent is not null").select("type", F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))
+    own = types.select("type", F.col("type").alias("ancestor"), F.lit(0).alias("distance"))
+    now = kept(steps.unionByName(own).groupBy("type", "ancestor").agg(F.min("distance").alias("distance")))
+    before, n = -1, now.count()
+    while n != before:
+        on = now.select(F.col("type").alias("ancestor"), F.col("ancestor").alias("_far"), F.col("distance").alias("_more"))
+        longer = now.where("distance > 0").join(on.where("_more > 0"), "ancestor").select("type", F.col("_far").alias("ancestor"), (F.col("distance") + F.col("_more")).alias("distance"))
+        now = kept(now.unionByName(longer).groupBy("type", "ancestor").agg(F.min("distance").alias("distance")))
+        before, n = n, now.count()
+    return now
 
 
 def violations(edges: DataFrame, entities: DataFrame, types: DataFrame, predicates: DataFrame) -> DataFrame:

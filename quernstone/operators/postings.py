@@ -48,6 +48,10 @@ class Index:
     key: str = "unit_id"
     grams: bool = False
 
+    def kind(self) -> str:
+        """The type of a unit's key."""
+        return self.spark.read.parquet(f"{self.root}/units/{self.version()['segments'][0]['id']}").schema["key"].dataType.simpleString()
+
     def version(self) -> dict:
         return manifest.latest(self.spark, self.root).entries
 
@@ -58,7 +62,7 @@ def bucket(term: str | Column) -> Column:
 
 def _counted(index: Index, units: DataFrame, body: str) -> DataFrame:
     """(key, term, tf, len); a unit without terms has one row without term."""
-    each = units.select(F.col(index.key).alias("key"), index.tokens(F.col(body)).alias("t")).select("key", F.size("t").alias("len"), F.explode_outer("t").alias("term"))
+    each = units.select(F.col(index.key).alias("key"), index.tokens(F.col(body)).alias("t")).select("key", F.greatest(F.lit(0), F.coalesce(F.size("t"), F.lit(0))).alias("len"), F.explode_outer("t").alias("term"))
     return each.groupBy("key", "len", "term").agg(F.count("*").cast("int").alias("tf"))
 
 
@@ -105,7 +109,11 @@ def _units(index: Index, entries: dict) -> DataFrame | None:
 
 def _lost(index: Index, entries: dict) -> DataFrame | None:
     """(bucket, term, segment, key) of postings that are no more; a unit without terms has one without term."""
-    return index.spark.read.option("basePath", f"{index.root}/lost").parquet(*[f"{index.root}/lost/{x}" for x in entries["lost"]]) if entries.get("lost") else None
+    out = None
+    for name in entries.get("lost", ()):
+        one = index.spark.read.schema(f"term string, segment string, key {index.kind()}, bucket int").parquet(f"{index.root}/lost/{name}")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def _postings(index: Index, entries: dict) -> DataFrame | None:
@@ -284,7 +292,7 @@ def bm25(index: Index, queries: DataFrame, k: int | None, most: int = TERMS) ->
     """query_id, key, score, rank by BM25 over all units of the index, as ``lexical.bm25`` gives it from texts."""
     made = plan(index, queries, k, most)
     if made is None:
-        return index.spark.createDataFrame([], queries.select("query_id").schema.add(index.key, "long").add("score", "double").add("rank", "int"))
+        return index.spark.createDataFrame([], queries.select("query_id").schema.add(index.key, "long").add("score", "double").add("rank", "integer"))
     return ranked(made.scores.withColumnRenamed("key", index.key), k, index.key)
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from quernstone.functions import text as T
-from quernstone.operators.blocks import meet
+from quernstone.sources.sinks import kept
 
 MISSING = 10**9
 
@@ -60,32 +64,63 @@ def abstained(queries: DataFrame, frequencies: DataFrame) -> DataFrame:
     return each.groupBy("query_id").agg(F.max(F.coalesce("df", F.lit(0))).alias("most")).where("most = 0").select("query_id")
 
 
-def resolve(queries: DataFrame, aliases: DataFrame) -> DataFrame:
-    """query_id, entity_id, position, longest: entities with an alias in the query's text; aliases: (entity_id, alias).
-
-    Aliases are looked up by their first word among the query's, so that no query meets all aliases, and verified as substrings.
-    An alias that begins inside a word is found by none of its words; ``resolve_all`` looks at every pair instead.
-    """
-    first = F.split(F.lower("alias"), r"[^\p{L}\p{N}]+")
-    known = aliases.where("alias <> ''").select("entity_id", F.lower("alias").alias("alias"), F.get(F.filter(first, lambda w: w != ""), 0).alias("word"))
-    asked = queries.select("query_id", F.lower("query").alias("q")).withColumn("word", F.explode(F.array_distinct(F.split("q", r"[^\p{L}\p{N}]+"))))
-    return _resolved(asked.join(known, "word"))
+#: Bytes of aliases that one automaton holds, and of queries that run through it at a time, both on average.
+PATTERN_BYTES, QUERY_BYTES = 2 << 20, 2 << 20
 
 
-def resolve_all(queries: DataFrame, aliases: DataFrame) -> DataFrame:
-    """As ``resolve``, by comparing each query of the stated set with every alias."""
-    known = aliases.where("alias <> ''").select("entity_id", F.lower("alias").alias("alias"))
-    return _resolved(meet(known, queries.select("query_id", F.lower("query").alias("q")), "alias", F.contains("q", "alias")))
-
+def resolve(queries: DataFrame, aliases: DataFrame) -> DataFrame:
+    """query_id, entity_id, position, longest: entities (entity_id, alias) with an alias anywhere in the query's text.
 
-def _resolved(pairs: DataFrame) -> DataFrame:
-    at = F.instr(F.col("q"), F.col("alias"))
-    return pairs.withColumn("at", at).where("at > 0").groupBy("query_id", "entity_id").agg(F.min("at").alias("position"), F.max(F.length("alias")).alias("longest"))
+    Aliases are measured and dealt into as many parts as it takes for an automaton of each (Aho and Corasick's) to stay within PATTERN_BYTES. Blocks of
+    queries run through each part's automaton once, whatever the number of its aliases. An alias without characters is in no query.
+    """
+    known = kept(aliases.where("alias <> ''").select("entity_id", F.lower("alias").alias("alias")).distinct())
+    asked = kept(queries.where("query is not null").select("query_id", F.lower("query").alias("q")))
+    kinds = {c: df.schema[c].dataType for df, c in ((known, "entity_id"), (asked, "query_id"))}
+    out = StructType([StructField("query_id", kinds["query_id"]), StructField("entity_id", kinds["entity_id"]), StructField("position", IntegerType()), StructField("longest", IntegerType())])
+    parts, blocks = (max(1, -(-int(df.agg(F.coalesce(F.sum(F.octet_length(c) + 16), F.lit(0))).first()[0]) // most)) for df, c, most in ((known, "alias", PATTERN_BYTES), (asked, "q", QUERY_BYTES)))
+    packed = known.groupBy(F.pmod(F.xxhash64("alias"), F.lit(parts)).cast("int").alias("part")).agg(F.collect_list("entity_id").alias("entities"), F.collect_list("alias").alias("aliases"))
+    # ids twice or more are dealt by their texts, so that no block grows with them
+    dealt = asked.groupBy(F.pmod(F.xxhash64("query_id", "q"), F.lit(blocks)).alias("block")).agg(F.collect_list("query_id").alias("ids"), F.collect_list("q").alias("texts"))
+    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        last, machine = None, None
+        for b in batches:
+            for k in range(b.num_rows):
+                part, entities, ids = b.column(0)[k].as_py(), b.column(1)[k].values, b.column(3)[k].values
+                if part != last:
+                    machine, own = ahocorasick.Automaton(), {}
+                    for i, alias in enumerate(b.column(2)[k].as_py()):
+                        own.setdefault(alias, []).append(i)
+                    for alias, which in own.items():
+                        machine.add_word(alias, (len(alias), which))
+                    machine.make_automaton()
+                    last = part
+                rows, found = [], []
+                for i, text in enumerate(b.column(4)[k].as_py()):
+                    best: dict[int, tuple[int, int]] = {}
+                    for end, (size, which) in machine.iter(text):
+                        for e in which:
+                            at, longest = best.get(e, (end, 0))
+                            best[e] = min(at, end - size + 1), max(longest, size)
+                    for e, (at, longest) in best.items():
+                        rows.append(i)
+                        found.append((e, at + 1, longest))
+                if rows:
+                    e, at, longest = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), entities.take(pa.array(e)), pa.array(at, pa.int32()), pa.array(longest, pa.int32())], names=["query_id", "entity_id", "position", "longest"])
+
+    met = dealt.join(packed, "part").sortWithinPartitions("part").select("part", "entities", "aliases", "ids", "texts")
+    # an entity's aliases may be in several parts, and a query twice in the table
+    return met.mapInArrow(run, out).groupBy("query_id", "entity_id").agg(F.min("position").alias("position"), F.max("longest").alias("longest"))
 
 
 def expand(queries: DataFrame, aliases: DataFrame, names: DataFrame) -> DataFrame:
     """query_id, expansions: names (entity_id, name) of entities in the query that it doesn't spell out, by place."""
-    found = resolve_all(queries, aliases).join(names, "entity_id").join(queries.select("query_id", F.lower("query").alias("q")), "query_id")
+    found = resolve(queries, aliases).join(names, "entity_id").join(queries.select("query_id", F.lower("query").alias("q")), "query_id")
     fresh = found.where(~F.contains("q", F.lower("name")))
     ordered = F.array_sort(F.collect_list(F.struct("position", (-F.col("longest")).alias("n"), "entity_id", "name")))
     lists = fresh.groupBy("query_id").agg(F.transform(ordered, lambda x: x["name"]).alias("expansions"))

@@ -75,12 +75,12 @@ def graph_paths_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
 a AS (SELECT 'nation:' || n_nationkey AS entity_id, n_name AS alias FROM nation UNION ALL SELECT 'segment:' || c_mktsegment, c_mktsegment FROM (SELECT DISTINCT c_mktsegment FROM customer))
 SELECT query_id, entity_id, CAST(min(instr(lower(query), lower(alias))) AS INT) AS position, CAST(max(length(alias)) AS INT) AS longest FROM q, a WHERE contains(lower(query), lower(alias)) GROUP BY query_id, entity_id""")
 def entity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quernstone.operators.rank import resolve_all
+    from quernstone.operators.rank import resolve
 
     n, c = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
     q = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("query_id"), F.concat(F.lit("orders of "), "n_name", F.lit(" for "), "c_mktsegment").alias("query"))
     a = n.select(F.concat(F.lit("nation:"), "n_nationkey").alias("entity_id"), F.col("n_name").alias("alias"))
-    return resolve_all(q, a.unionByName(c.select(F.concat(F.lit("segment:"), "c_mktsegment").alias("entity_id"), F.col("c_mktsegment").alias("alias")).distinct()))
+    return resolve(q, a.unionByName(c.select(F.concat(F.lit("segment:"), "c_mktsegment").alias("entity_id"), F.col("c_mktsegment").alias("alias")).distinct()))
 
 
 CLAIMS = "k AS (SELECT o_orderkey AS id, o_custkey AS subject_id, 'has_status' AS predicate, o_orderstatus AS object_id, o_orderdate AS valid_from, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderdate + INTERVAL 60 DAY END AS valid_to FROM orders)"
@@ -108,9 +108,22 @@ TYPES_SQL = "ty AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', {'NULL' if b i
 CLOSURE_SQL = f"{TYPES_SQL}, cl AS (SELECT type, type AS ancestor, 0 AS distance FROM ty UNION ALL SELECT cl.type, ty.parent, distance + 1 FROM cl JOIN ty ON cl.ancestor = ty.type WHERE ty.parent IS NOT NULL)"
 
 
-@query(f"WITH RECURSIVE {CLOSURE_SQL} SELECT type, ancestor, min(distance) AS distance FROM cl GROUP BY type, ancestor")
+PLACES_SQL = """pl AS (SELECT 'customer:' || c_custkey AS type, 'nation:' || c_nationkey AS parent FROM customer UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey FROM supplier
+UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey FROM nation UNION ALL SELECT 'region:' || r_regionkey, 'place' FROM region UNION ALL SELECT 'place', NULL)"""
+
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types (type, parent): customers and suppliers of their nations, these of their regions."""
+    out = spark.createDataFrame([("place", None)], "type string, parent string")
+    for t, key, above, parent in (("customer", "c_custkey", "nation", "c_nationkey"), ("supplier", "s_suppkey", "nation", "s_nationkey"), ("nation", "n_nationkey", "region", "n_regionkey")):
+        out = out.unionByName(table(spark, sf_dir, t).select(F.concat(F.lit(f"{t}:"), key).alias("type"), F.concat(F.lit(f"{above}:"), parent).alias("parent")))
+    return out.unionByName(table(spark, sf_dir, "region").select(F.concat(F.lit("region:"), "r_regionkey").alias("type"), F.lit("place").alias("parent")))
+
+
+@query(f"""WITH RECURSIVE {PLACES_SQL}, cl AS (SELECT type, type AS ancestor, 0 AS distance FROM pl UNION ALL SELECT cl.type, pl.parent, distance + 1 FROM cl JOIN pl ON cl.ancestor = pl.type WHERE pl.parent IS NOT NULL)
+SELECT type, ancestor, min(distance) AS distance FROM cl GROUP BY type, ancestor""")
 def type_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.closure(spark.createDataFrame(TYPES, "type string, parent string"))
+    return graph.closure(_places(spark, sf_dir))
 
 
 @query(f"""WITH RECURSIVE {CLOSURE_SQL}, {EDGES}, x AS (SELECT id, subject_id, object_id, predicate, split_part(subject_id, ':', 1) AS st, split_part(object_id, ':', 1) AS ot FROM e WHERE predicate <> 'placed_by')
@@ -123,14 +136,16 @@ def domain_range_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.violations(e, ids.withColumn("entity_type", F.split("id", ":")[0]), spark.createDataFrame(TYPES, "type string, parent string"), rules)
 
 
-AFTER = [("thing", None), ("place", "thing"), ("region", "place"), ("nation", "region"), ("party", "thing"), ("customer", "party"), ("supplier", "party"), ("order", "thing"), ("invoice", "thing")]
-
-
-@query("WITH " + TYPES_SQL + ", af AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', {'NULL' if b is None else repr(b)})" for a, b in AFTER) + """) AS t(type, parent)),
-j AS (SELECT coalesce(ty.type, af.type) AS symbol, CASE WHEN ty.type IS NULL THEN 'entity_added' WHEN af.type IS NULL THEN 'entity_removed' WHEN ty.parent IS DISTINCT FROM af.parent THEN 'entity_parent_changed' END AS change FROM ty FULL JOIN af ON ty.type = af.type)
+@query(f"""WITH {PLACES_SQL}, af AS (SELECT 'supplier:' || s_suppkey AS type, 'nation:' || CASE WHEN s_suppkey % 5 = 0 THEN (s_nationkey + 1) % 25 ELSE s_nationkey END AS parent FROM supplier WHERE s_suppkey % 7 <> 0
+UNION ALL SELECT 'segment:' || c_mktsegment, 'place' FROM (SELECT DISTINCT c_mktsegment FROM customer) UNION ALL SELECT type, parent FROM pl WHERE NOT starts_with(type, 'supplier:')),
+j AS (SELECT coalesce(pl.type, af.type) AS symbol, CASE WHEN pl.type IS NULL THEN 'entity_added' WHEN af.type IS NULL THEN 'entity_removed' WHEN pl.parent IS DISTINCT FROM af.parent THEN 'entity_parent_changed' END AS change FROM pl FULL JOIN af ON pl.type = af.type)
 SELECT symbol, change, CASE WHEN change = 'entity_added' THEN 'compatible' ELSE 'breaking' END AS classification FROM j WHERE change IS NOT NULL""")
 def ontology_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.ontology_diff(spark.createDataFrame(TYPES, "type string, parent string"), spark.createDataFrame(AFTER, "type string, parent string"))
+    """A release in which suppliers move or go, and segments of customers come."""
+    before, k = _places(spark, sf_dir), F.col("s_suppkey")
+    moved = table(spark, sf_dir, "supplier").where(k % 7 != 0).select(F.concat(F.lit("supplier:"), k).alias("type"), F.concat(F.lit("nation:"), F.when(k % 5 == 0, (F.col("s_nationkey") + 1) % 25).otherwise(F.col("s_nationkey"))).alias("parent"))
+    new = table(spark, sf_dir, "customer").select(F.concat(F.lit("segment:"), "c_mktsegment").alias("type"), F.lit("place").alias("parent")).distinct()
+    return graph.ontology_diff(before, before.where(~F.col("type").startswith("supplier:")).unionByName(moved).unionByName(new))
 
 
 CANDIDATES = "ca AS (SELECT l.doc_id AS id, 'p' || (l.doc_id % 6) AS predicate, CASE WHEN quality = 1 THEN 'approved' ELSE 'rejected' END AS status, l.doc_id % 11 = 0 AS auto_approved, (l.doc_id % 100) / 100.0::DOUBLE AS confidence FROM labels l), rv AS (SELECT doc_id AS id FROM labels WHERE toxic = 1 AND quality = 1)"
@@ -166,11 +181,11 @@ def triage_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.triage(c, 50).drop("created_at")
 
 
-@query(f"WITH {SEEN}, ev AS (SELECT l_orderkey AS candidate_id, l_partkey % (SELECT count(*) FROM documents) AS unit_id FROM lineitem WHERE l_linenumber <= 2) SELECT o_orderkey AS candidate_id FROM orders WHERE o_orderkey NOT IN (SELECT candidate_id FROM ev WHERE unit_id NOT IN (SELECT unit_id FROM seen))")
+@query(f"WITH {SEEN}, ev AS (SELECT l_orderkey AS candidate_id, l_partkey % (SELECT count(*) FROM documents) AS unit_id FROM lineitem) SELECT o_orderkey AS candidate_id FROM orders WHERE o_orderkey NOT IN (SELECT candidate_id FROM ev WHERE unit_id NOT IN (SELECT unit_id FROM seen))")
 def candidate_visibility_division(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = units(spark, sf_dir)
     n = u.agg(F.count("*").alias("n"))
-    evidence = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").crossJoin(F.broadcast(n)).select(F.col("l_orderkey").alias("candidate_id"), (F.col("l_partkey") % F.col("n")).alias("unit_id"))
+    evidence = table(spark, sf_dir, "lineitem").crossJoin(F.broadcast(n)).select(F.col("l_orderkey").alias("candidate_id"), (F.col("l_partkey") % F.col("n")).alias("unit_id"))
     return fully_evidenced(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("candidate_id")), "candidate_id", evidence, visible(u, CONTEXT))
 
 

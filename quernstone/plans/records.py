@@ -42,12 +42,12 @@ def review_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT o_orderkey AS id, coalesce(e, []) AS evidence_ids, CASE WHEN o_orderkey % 5 = 0 THEN 'import' WHEN o_orderkey % 2 = 0 THEN 'policy' ELSE 'review' END AS origin
-FROM orders LEFT JOIN (SELECT l_orderkey, list(DISTINCT l_partkey ORDER BY l_partkey) AS e FROM lineitem WHERE l_linenumber < 3 GROUP BY l_orderkey) ON l_orderkey = o_orderkey""")
+FROM orders LEFT JOIN (SELECT l_orderkey, list(DISTINCT l_partkey ORDER BY l_partkey) AS e FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey""")
 def assertion_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     a = table(spark, sf_dir, "orders").select(k.alias("id"), F.when(k % 5 != 0, k).alias("source_candidate_id"))
     c = a.where("source_candidate_id is not null").select("id", (F.col("id") % 2 == 0).alias("auto_approved"))
-    e = table(spark, sf_dir, "lineitem").where("l_linenumber < 3").select(F.col("l_orderkey").alias("assertion_id"), F.col("l_partkey").alias("unit_id"))
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("assertion_id"), F.col("l_partkey").alias("unit_id"))
     return records.explained(a, e, c)
 
 

@@ -90,10 +90,17 @@ def space_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content.activated(_spaces(spark), F.col("space_id") == "s1", counts, 1000)
 
 
-@query(f"WITH {SPACES_SQL} SELECT space_id, name, CASE WHEN space_id = 's2' THEN 128 ELSE dim END AS dim, status FROM sp UNION ALL SELECT 's5', 'fifth', 64, 'shadow'")
+@query("""WITH l AS (SELECT label, max(len(embedding)) AS dim FROM embeddings GROUP BY label), sp AS (SELECT 's' || label AS space_id, 'name ' || label AS name, CAST(dim AS INT) AS dim, CASE WHEN label % 4 = 0 THEN 'active' ELSE 'shadow' END AS status FROM l WHERE label % 3 <> 2),
+i AS (SELECT 's' || label AS space_id, 'name ' || CASE WHEN label % 5 = 0 THEN label + 1 ELSE label END AS name, CAST(2 * dim AS INT) AS dim, 'shadow' AS status FROM l),
+g AS (SELECT i.* FROM i LEFT JOIN sp ON sp.name = i.name WHERE sp.space_id IS NULL OR sp.space_id = i.space_id)
+SELECT space_id, name, dim, status FROM sp WHERE space_id NOT IN (SELECT space_id FROM g) UNION ALL SELECT g.space_id, g.name, g.dim, CASE WHEN sp.status = 'active' THEN 'active' ELSE g.status END FROM g LEFT JOIN sp USING (space_id)""")
 def space_saving(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = [("s0", "first", 64, "shadow"), ("s2", "third", 128, "shadow"), ("s4", "second", 64, "shadow"), ("s5", "fifth", 64, "shadow")]
-    return content.saved_spaces(_spaces(spark), spark.createDataFrame(new, "space_id string, name string, dim int, status string"))
+    """A space for each label, saved again with twice the dimension, a fifth of them under the name of another."""
+    k = F.col("label")
+    labels = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.max(F.size("embedding")).alias("dim"))
+    old = labels.where(k % 3 != 2).select(F.concat(F.lit("s"), k).alias("space_id"), F.concat(F.lit("name "), k).alias("name"), "dim", F.when(k % 4 == 0, "active").otherwise("shadow").alias("status"))
+    new = labels.select(F.concat(F.lit("s"), k).alias("space_id"), F.concat(F.lit("name "), F.when(k % 5 == 0, k + 1).otherwise(k)).alias("name"), (2 * F.col("dim")).alias("dim"), F.lit("shadow").alias("status"))
+    return content.saved_spaces(old, new)
 
 
 @query("""WITH old AS (SELECT 's' || label % 3 AS space_id, vec_id AS unit_id, embedding[1] AS head FROM embeddings WHERE label % 2 = 0),
@@ -202,15 +209,26 @@ def assertion_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.assertion_states(assertions, outcomes, decisions.withColumn("seq", F.col("candidate_id")), d.where("doc_id % 10 = 0").select(i.alias("assertion_id")))
 
 
-TYPES = [("thing", None), ("place", "thing"), ("city", "area"), ("person", "thing")]
-PREDICATES = [("lives_in", ["person"], ["place"], None, True, "semantic", "required", "high"), ("near", ["place"], ["planet"], "near", True, "mixed", "conditional", "low"), ("knows", [], ["person"], "known_by", True, "semantic", "required", "medium"), ("likes", ["person", "pet"], ["thing"], None, False, "guess", "never", "huge")]
-
-
-@query("""SELECT * FROM (VALUES ('city', 'unknown parent'), ('knows', 'empty domain'), ('near', 'unknown range'), ('likes', 'unknown domain'), ('likes', 'inverse not given'), ('knows', 'unknown inverse'), ('likes', 'invalid extraction'), ('likes', 'invalid review'), ('likes', 'invalid risk'),
-('knows', 'review not in the policy'), ('near', 'policy without review')) AS t(symbol, error)""")
+@query("""WITH ty AS (SELECT 'nation:' || n_nationkey AS type, CASE WHEN n_nationkey % 6 = 5 THEN 'region:none' ELSE 'region:' || n_regionkey END AS parent FROM nation UNION ALL SELECT 'region:' || r_regionkey, NULL FROM region),
+pr AS (SELECT p_partkey AS k, 'p' || p_partkey AS predicate, CASE WHEN p_partkey % 7 = 0 THEN [] ELSE ['nation:' || p_partkey % 30] END AS domain, ['region:' || p_partkey % 6] AS range, CASE WHEN p_partkey % 3 = 0 THEN 'p' || (p_partkey + 40) END AS inverse,
+  p_partkey % 11 <> 0 AS given, CASE WHEN p_partkey % 13 = 0 THEN 'guess' ELSE 'semantic' END AS extraction, CASE WHEN p_partkey % 4 = 0 THEN 'required' WHEN p_partkey % 17 = 0 THEN 'never' ELSE 'conditional' END AS review, CASE WHEN p_partkey % 19 = 0 THEN 'huge' ELSE 'low' END AS risk FROM part)
+SELECT type AS symbol, 'unknown parent' AS error FROM ty WHERE parent IS NOT NULL AND parent NOT IN (SELECT type FROM ty)
+UNION ALL SELECT predicate, 'empty domain' FROM pr WHERE len(domain) = 0 UNION ALL SELECT predicate, 'unknown domain' FROM pr WHERE len(domain) > 0 AND domain[1] NOT IN (SELECT type FROM ty)
+UNION ALL SELECT predicate, 'unknown range' FROM pr WHERE range[1] NOT IN (SELECT type FROM ty) UNION ALL SELECT predicate, 'inverse not given' FROM pr WHERE NOT given
+UNION ALL SELECT predicate, 'unknown inverse' FROM pr WHERE inverse IS NOT NULL AND inverse NOT IN (SELECT predicate FROM pr)
+UNION ALL SELECT predicate, 'invalid extraction' FROM pr WHERE extraction = 'guess' UNION ALL SELECT predicate, 'invalid review' FROM pr WHERE review = 'never' UNION ALL SELECT predicate, 'invalid risk' FROM pr WHERE risk = 'huge'
+UNION ALL SELECT predicate, 'review not in the policy' FROM pr WHERE review = 'required' AND k % 8 <> 0 AND k % 23 <> 0 UNION ALL SELECT predicate, 'policy without review' FROM pr WHERE review <> 'required' AND k % 23 = 0""")
 def ontology_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    predicates = spark.createDataFrame(PREDICATES, "predicate string, domain array<string>, range array<string>, inverse string, inverse_given boolean, extraction string, review string, risk string")
-    return review.contract_errors(spark.createDataFrame(TYPES, "type string, parent string"), predicates, spark.createDataFrame([("lives_in",), ("near",)], "predicate string"))
+    """Types are nations and regions, predicates are parts; some of each break the contract."""
+    k, n = F.col("p_partkey"), F.col("n_nationkey")
+    types = table(spark, sf_dir, "nation").select(F.concat(F.lit("nation:"), n).alias("type"), F.when(n % 6 == 5, "region:none").otherwise(F.concat(F.lit("region:"), "n_regionkey")).alias("parent"))
+    types = types.unionByName(table(spark, sf_dir, "region").select(F.concat(F.lit("region:"), "r_regionkey").alias("type"), F.lit(None).cast("string").alias("parent")))
+    predicates = table(spark, sf_dir, "part").select(
+        k, F.concat(F.lit("p"), k).alias("predicate"), F.when(k % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("nation:"), k % 30))).alias("domain"), F.array(F.concat(F.lit("region:"), k % 6)).alias("range"),
+        F.when(k % 3 == 0, F.concat(F.lit("p"), k + 40)).alias("inverse"), (k % 11 != 0).alias("inverse_given"), F.when(k % 13 == 0, "guess").otherwise("semantic").alias("extraction"),
+        F.when(k % 4 == 0, "required").when(k % 17 == 0, "never").otherwise("conditional").alias("review"), F.when(k % 19 == 0, "huge").otherwise("low").alias("risk"),
+    )
+    return review.contract_errors(types, predicates, predicates.where((k % 8 == 0) | (k % 23 == 0)).select("predicate"))
 
 
 JOBS = "jb AS (SELECT event_id AS job_id, CASE event_type WHEN 'error' THEN 'running' WHEN 'view' THEN 'queued' ELSE 'succeeded' END AS status, user_id % 3 AS priority, ts AS available_at, event_id % 7 AS attempts, 5 AS max_attempts FROM events)"
