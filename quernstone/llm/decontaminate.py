@@ -6,11 +6,11 @@ shingles, wherever they stand.
 
 Items are partitioned by the power of two below their number of shingles. An item's MinHash sketch is its k smallest
 shingle hashes, with k one more than the shingles that an item of its partition may miss: a document that holds
-enough of the item must have one of the sketch, however long it is, so the search loses nothing. A document's sketch is all of its
-shingle hashes up to the greatest that any item's sketch holds, in its sizes' partitions: what is above can meet no sketch and
-goes no further. Documents too short for a partition's items are not searched for them. Candidates are then verified by counting the very
-shingles, as text, that the document has of the item. Only sketch hits leave a map task in the search, so
-that nothing is shuffled but candidate pairs.
+enough of the item must have one of the sketch, however long it is, so the search loses nothing. Each partition has a bound, the greatest hash
+that a sketch of it holds, and a least size: of a document's shingles those go on whose hash is within the bound of a partition whose items
+the document is long enough for. The bound of large items is low, as their sketches are few of many shingles; that of short items
+isn't (``searched`` tells how many shingles go on), and these are left to the join with the sketches. Candidates are then verified by counting the very
+shingles, as text, that the document has of the item.
 
 Defined cases: a null or empty text has no shingles and is neither contaminated nor an item; a null doc_id is kept with
 its own answer; rows that repeat a document get the same answer each; rows that share doc_id but not text are judged
@@ -53,31 +53,51 @@ def _text() -> Column:
     return F.array_join(F.slice("w", F.col("i") + 1, F.col("m")), " ")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
-    """k1, k2 (see ``_key``), item_id, containment of each pair of a document and an item that it holds."""
+def _sketched(items: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
+    """The items' shingles (item_id, m, h, s, n_item), and those of their sketches (item_id, n_item, m, h)."""
     of = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     index = shingles(of, ["item_id"], F.array(F.least(F.lit(SHINGLE), F.size("w")))).select("item_id", "m", "h", _text().alias("s")).distinct()
     sizes = index.groupBy("item_id").agg(F.count("*").alias("n_item"))
-    miss = F.lit(1.0 - share)
     index = durable(index.join(sizes, "item_id"))
     # of the partition's largest size; at least what this item may miss, and one more
-    k = F.floor(miss * (F.pow(F.lit(2), F.floor(F.log2("n_item")) + 1) - 1) + 1e-9) + 1
+    k = F.floor(F.lit(1.0 - share) * (F.pow(F.lit(2), F.floor(F.log2("n_item")) + 1) - 1) + 1e-9) + 1
     ranks = index.groupBy("item_id", "n_item").agg(F.sort_array(F.collect_list(F.struct("h", "m"))).alias("own"))
-    sketch = durable(ranks.select("item_id", "n_item", F.explode(F.slice("own", F.lit(1), k.cast("int"))).alias("x")).select("item_id", "n_item", "x.m", "x.h"))
-    # five numbers at most: the greatest sketch hash of each length of shingle
-    top = {r["m"]: r["top"] for r in sketch.groupBy("m").agg(F.max("h").alias("top")).collect()}
-    lengths = F.array(*map(F.lit, sorted(top))) if top else F.array().cast("array<int>")
-    highest = F.lit(None).cast("long")
-    for m, h in top.items():
-        highest = F.when(F.col("m") == m, F.lit(h)).otherwise(highest)
+    return index, durable(ranks.select("item_id", "n_item", F.explode(F.slice("own", F.lit(1), k.cast("int"))).alias("x")).select("item_id", "n_item", "x.m", "x.h"))
+
+
+def _bounds(sketch: DataFrame, share: float) -> tuple[Column, Column]:
+    """The lengths of the items' shingles, and whether a document's shingle (m, n, h) is within the bound of a partition of items that it is long enough for."""
+    size = F.floor(F.log2("n_item"))
+    # a row for each partition: five lengths of shingles, powers of two of sizes
+    parts = sketch.groupBy("m", size.alias("size")).agg(F.max("h").alias("top"), F.min("n_item").alias("least")).collect()
+    lengths = sorted({r["m"] for r in parts})
+    within = F.lit(False)
+    for r in parts:
+        within = within | ((F.col("m") == r["m"]) & (F.col("n") >= r["least"] * share - 1e-9) & (F.col("h") <= r["top"]))
+    return (F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>")), within
+
+
+def searched(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
+    """One row: shingles of all documents, and how many of them are within a bound and so are looked up in the sketches."""
+    lengths, within = _bounds(_sketched(items, share)[1], share)
+    each = shingles(docs.select(*_key(), "text"), ["k1", "k2"], lengths)
+    return each.agg(F.count("*").alias("shingles"), F.count_if(within).alias("searched"))
+
+
+def contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
+    """k1, k2 (see ``_key``), item_id, containment of each pair of a document and an item that it holds."""
+    index, sketch = _sketched(items, share)
+    lengths, within = _bounds(sketch, share)
 
     keyed = docs.select(*_key(), "text")
-    found = shingles(keyed, ["k1", "k2"], lengths).where(F.col("h") <= highest).select("k1", "k2", "m", "n", "h")
+    found = shingles(keyed, ["k1", "k2"], lengths).where(within).select("k1", "k2", "m", "n", "h")
     enough = F.col("n") >= F.col("n_item") * F.lit(share) - F.lit(1e-9)
     pairs = durable(found.join(sketch, ["m", "h"]).where(enough).select("k1", "k2", "item_id").distinct())
 
     suspects = keyed.join(pairs.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
-    there = shingles(suspects, ["k1", "k2"], lengths).join(index.select("m", "h", "item_id", "n_item", "s"), ["m", "h"]).where(_text() == F.col("s")).select("k1", "k2", "item_id", "n_item", "s")
+    # each shingle goes on with its own words, not with all of its document's
+    own = shingles(suspects, ["k1", "k2"], lengths).select("k1", "k2", "m", "h", _text().alias("own"))
+    there = own.join(index.select("m", "h", "item_id", "n_item", "s"), ["m", "h"]).where(F.col("own") == F.col("s")).select("k1", "k2", "item_id", "n_item", "s")
     held = there.join(pairs, ["k1", "k2", "item_id"], "left_semi").groupBy("k1", "k2", "item_id", "n_item").agg(F.countDistinct("s").alias("n_held"))
     return held.where(F.col("n_held") >= F.col("n_item") * F.lit(share) - F.lit(1e-9)).select("k1", "k2", "item_id", (F.col("n_held") / F.col("n_item")).alias("containment"))
 

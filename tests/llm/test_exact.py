@@ -357,3 +357,13 @@ def test_mix(spark, seed):
 def test_mix_of_nothing(spark):
     assert mixing.mix(spark.createDataFrame([], DOC)).count() == 0
     assert mixing.mix(docs(spark, [(1, "", "a"), (2, None, None)])).agg({"taken": "sum"}).first()[0] == 0
+
+
+def test_bounds_of_large_items_leave_most_shingles_out(spark):
+    rnd = random.Random(4)
+    item = spark.createDataFrame([(1, " ".join(f"i{k}" for k in range(400)))], "item_id long, text string")
+    d = docs(spark, [(i, " ".join(words(rnd, 600, 5000)), "s") for i in range(30)] + [(99, " ".join(words(rnd, 50)), "s")])
+    r = decontaminate.searched(d, item).first()
+    assert r["shingles"] == 30 * 596 + 46 and 0 < r["searched"] < 0.4 * r["shingles"]
+    plan = decontaminate.contaminated(d, item)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Join" in line and "w#" in line for line in plan.split("\n"))
