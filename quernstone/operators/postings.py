@@ -14,6 +14,7 @@ first, and of the others only those whose bound reaches the score of the k-th un
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -30,8 +31,8 @@ from quernstone.sources.sinks import kept
 UNITS, BUCKETS = 64, 32
 #: Terms of a query at most, the longest ones.
 TERMS = 64
-#: Blocks of a query that are scored before any is left out.
-FIRST = 4
+#: Blocks of a query that are scored before any is left out. An index of no more than DIRECT blocks is scored whole: to find bounds would take longer.
+FIRST, DIRECT = 4, 4096
 #: Terms that are named in the filter of a scan; more come by a join.
 NAMED = 512
 #: Scores are rounded to six places: what could round up to the k-th score is looked at.
@@ -57,7 +58,7 @@ class Index:
 
 
 def bucket(term: str | Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+    return (F.crc32(F.col(term).cast("binary") if isinstance(term, str) else term.cast("binary")) % BUCKETS).cast("int")
 
 
 def _counted(index: Index, units: DataFrame, body: str) -> DataFrame:
@@ -185,12 +186,11 @@ def merge(index: Index) -> Index:
 
 def _of_terms(rows: DataFrame, terms: DataFrame, column: str = "term") -> DataFrame:
     """``rows`` (bucket, term) of ``terms`` (term). A few terms are named to the scan, which then opens their folders and row groups alone."""
-    few = [r["term"] for r in terms.select("term").distinct().limit(NAMED + 1).collect()]
+    few = [r["term"] for r in terms.select("term").where("term is not null").distinct().limit(NAMED + 1).collect()]
     if len(few) > NAMED:
         own = terms.select(F.col("term").alias(column)).distinct().withColumn("bucket", bucket(column))
         return rows.join(own, ["bucket", column], "left_semi")
-    own = terms.sparkSession.createDataFrame([(t,) for t in few], "term string").select(bucket("term").alias("b")).distinct().collect() if few else []
-    return rows.where(F.col("bucket").isin([r["b"] for r in own]) & F.col(column).isin(few))
+    return rows.where(F.col("bucket").isin(sorted({zlib.crc32(t.encode()) % BUCKETS for t in few})) & F.col(column).isin(few))
 
 
 def asked_terms(index: Index, queries: DataFrame, most: int = TERMS) -> DataFrame:
@@ -238,11 +238,11 @@ def found(index: Index, terms: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Plan:
-    """What a search reads: bounds (query_id, segment, block, bound), and which blocks are scored."""
+    """What a search reads: bounds (query_id, segment, block, bound) and which blocks are scored (none where all are), and the scores (query_id, key, score)."""
 
-    bounds: DataFrame
-    first: DataFrame
-    rest: DataFrame
+    bounds: DataFrame | None
+    first: DataFrame | None
+    rest: DataFrame | None
     scores: DataFrame
 
 
@@ -257,11 +257,14 @@ def plan(index: Index, queries: DataFrame, k: int | None, most: int = TERMS) ->
     if not n:
         return None
     avgdl = max(1.0, total / n)
-    asked = kept(asked_terms(index, queries, most))
+    asked = asked_terms(index, queries, most)
     blocks, lost = _of_terms(_postings(index, entries), asked), _lost(index, entries)
     lost = None if lost is None else kept(_of_terms(lost, asked).select("segment", "term", "key"))
-    df = kept(frequencies(index, asked)).select("term", idf(F.lit(n), F.col("df")).alias("idf"))
-    own = kept(asked.join(df, "term"))
+    df = blocks.select("term", F.col("n").cast("long").alias("n"))
+    df = (df if lost is None else df.unionByName(lost.select("term", F.lit(-1).cast("long").alias("n")))).groupBy("term").agg(F.sum("n").alias("df")).where("df > 0")
+    own = asked.join(df.select("term", idf(F.lit(n), F.col("df")).alias("idf")), "term")
+    direct = k is None or -(-n // UNITS) <= DIRECT
+    own = own if direct else kept(own)
 
     def scored(chosen: DataFrame | None) -> DataFrame:
         # whole blocks meet queries before their postings are spread out
@@ -273,8 +276,8 @@ def plan(index: Index, queries: DataFrame, k: int | None, most: int = TERMS) ->
         part = F.col("idf") * _weight(F.col("tf"), F.col("len"), avgdl)
         return rows.groupBy("query_id", "key").agg(F.round(F.sum(part), 6).alias("score"))
 
-    if k is None:
-        return Plan(own, own, own, scored(None))
+    if direct:
+        return Plan(None, None, None, scored(None))
     # the greatest count and the least length an occurrence: no posting of the block weighs more
     most_weight = (K1 + 1) / (1 + K1 * ((1 - B) / F.col("max_tf") + B * F.col("min_ratio") / avgdl))
     bounds = kept(blocks.select("segment", "block", "term", most_weight.alias("w")).join(own, "term").groupBy("query_id", "segment", "block").agg(F.sum(F.col("idf") * F.col("w")).alias("bound")))
@@ -299,6 +302,8 @@ def bm25(index: Index, queries: DataFrame, k: int | None, most: int = TERMS) ->
 def cost(index: Index, queries: DataFrame, k: int, most: int = TERMS) -> DataFrame:
     """query_id, blocks, scored: how many blocks hold a query's terms, and how many of them were scored."""
     made = plan(index, queries, k, most)
+    if made is None or made.bounds is None:
+        raise ValueError("an index as small as this is scored whole")
     some = made.first.unionByName(made.rest).groupBy("query_id").agg(F.count("*").alias("scored"))
     return made.bounds.groupBy("query_id").agg(F.count("*").alias("blocks")).join(some, "query_id")
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
-from quernstone.operators import lexical, rank, vector
+from quernstone.operators import lexical, rank, vector, vector_index
 from quernstone.operators.postings import bm25
 from quernstone.operators.visibility import filtered, fresh, visible
 from quernstone.plans.registry import ASKED, CONTEXT, SEEN, UNITS, asked, lexicon, query, stored, table, units
+from quernstone.sources.sinks import shared_dir
 
 BM25_SQL = """t AS (SELECT unit_id, list_transform(regexp_extract_all(lower(body), '[0-9A-Za-z]+|[가-힣]+'), lambda x: x) AS t FROM {src}),
 s AS (SELECT count(*) AS n, greatest(1.0, avg(len(t))) AS avgdl FROM t),
@@ -175,6 +178,37 @@ def cosine_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.cosine_topk(filtered(table(spark, sf_dir, "embeddings"), label=[0, 1, 2]), _vector_queries(spark, sf_dir), 5)
 
 
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors, and their first halves as vectors of another dimension."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.unionByName(e.select((F.col("vec_id") + 1_000_000).alias("vec_id"), F.slice("embedding", 1, 32).alias("embedding"), "label"))
+
+
+def _nearest(spark: SparkSession, sf_dir: str) -> vector_index.VectorIndex:
+    root = f"{shared_dir(spark)}/quernstone-vectors-{uuid.uuid4().hex}"
+    return stored(spark, sf_dir, "vectors", lambda: vector_index.build(vector_index.VectorIndex(spark, root), _sizes(spark, sf_dir)))
+
+
+def _halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sizes(spark, sf_dir).where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+
+
+@query()
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate: tests hold its recall against all distances."""
+    return vector_index.search(_nearest(spark, sf_dir), _halves(spark, sf_dir), 20)
+
+
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings UNION ALL SELECT vec_id + 1000000, embedding[1:32]::DOUBLE[], label FROM embeddings),
+c AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a JOIN v b ON len(a.e) = len(b.e) WHERE a.vec_id % 50 = 0 AND b.label IN (0, 1, 2))
+SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""")
+def vector_index_all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Through the same codes and cells, all of them open and all that pass the filter ranked: exact."""
+    index = _nearest(spark, sf_dir)
+    n = index.rows().count()
+    return vector_index.search(index, _halves(spark, sf_dir), 5, where=F.col("label").isin(0, 1, 2), probes=n, depth=n)
+
+
 LISTS_SQL = f"""{UNITS}, {ASKED}, {BM25_SQL.format(src="u")}, ve AS (SELECT a.vec_id AS query_id, b.vec_id AS unit_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id IN (SELECT query_id FROM q)),
 vr AS (SELECT query_id, unit_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS INT) AS rank FROM ve),
 l AS (SELECT 'lexical' AS channel, query_id, unit_id, rank FROM bm WHERE rank <= 50 UNION ALL SELECT 'vector', query_id, unit_id, rank FROM vr WHERE rank <= 50)"""

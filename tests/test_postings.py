@@ -33,6 +33,7 @@ def queries(spark):
 def test_index_equals_search_of_texts(spark, queries, tmp_path, monkeypatch, named):
     monkeypatch.setattr(postings, "NAMED", named)  # by name in the scan's filter, or by a join
     monkeypatch.setattr(postings, "UNITS", 8)
+    monkeypatch.setattr(postings, "DIRECT", 0 if named == 2 else 4096)
     rnd = random.Random(3)
     now = dict(texts(rnd, range(200)))
     frame = lambda d: spark.createDataFrame(sorted(d.items()), U).repartition(3)
@@ -65,6 +66,7 @@ def test_index_equals_search_of_texts(spark, queries, tmp_path, monkeypatch, nam
 
 def test_blocks_are_skipped_and_terms_capped(spark, queries, tmp_path, monkeypatch):
     monkeypatch.setattr(postings, "UNITS", 4)
+    monkeypatch.setattr(postings, "DIRECT", 0)
     rnd = random.Random(5)
     units = spark.createDataFrame(texts(rnd, range(2000)), U)
     index = postings.build(postings.Index(spark, str(tmp_path), T.bm25_tokens), units)

@@ -64,4 +64,12 @@ def test_codes_are_near_what_they_code():
     u = x / np.linalg.norm(x, axis=1)[:, None]
     cells = m.cells(u)
     assert np.linalg.norm(m.decoded(m.coded(u, cells), cells) - u, axis=1).mean() < 0.35
-    assert (np.diff([-np.inf, *[m.probes]]) > 0).all() and 1 <= m.probes <= len(m.centres)
+    assert 1 <= m.probes <= len(m.centres)
+
+
+def test_recall_of_the_query(spark, sf):
+    from quernstone.plans import catalog
+    from quernstone.plans.search import _halves, _sizes
+
+    exact = vector.cosine_topk(_sizes(spark, sf), _halves(spark, sf), 20)
+    assert recall(catalog.QUERIES["vector_index_topk"](spark, sf), exact) >= 0.9
