@@ -14,7 +14,7 @@ from quernstone.functions import text as T
 from quernstone.operators.postings import bm25
 from quernstone.plans.registry import asked, lexicon, query, table, units
 from quernstone.sources import parsers, sinks
-from quernstone.streaming import events
+from quernstone.streaming import events, jobs
 
 
 @query()
@@ -58,3 +58,26 @@ def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     q.processAllAvailable()
     q.stop()
     return spark.read.parquet(f"{path}/out").where("user_id is not null").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query()
+def live_job_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """workspace, job, status, attempts, worker: where jobs stand once the events have gone through a queue in a stream's state as commands."""
+    path, k, kind = f"{sinks.shared_dir(spark)}/quernstone-jobs-{uuid.uuid4().hex}", F.col("event_id"), F.col("event_type")
+    op = F.when(kind == "view", "enqueue").when(kind == "error", "fail").when(kind == "purchase", "complete").otherwise("claim")
+    job = F.concat(F.lit("job"), (F.col("user_id") % 97).cast("string"))
+    commands = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("ws"), (F.col("user_id") % 3).cast("string")).alias("workspace"), jobs.shard_of(job, 4).alias("shard"), F.col("ts").cast("timestamp").alias("at"), k.alias("seq"), op.alias("op"), job.alias("job"),
+        F.lit("worker").alias("worker"), (k % 3).cast("int").alias("priority"), F.when(op == "complete", F.lit("{}")).otherwise(F.lit("text")).alias("payload"), F.lit(3).alias("max_attempts"),
+    )
+    commands.write.parquet(f"{path}/in")
+    usual = spark.conf.get(jobs.STORE)
+    jobs.with_state_store(spark)
+    try:
+        changes = jobs.queue(spark.readStream.schema(commands.schema).parquet(f"{path}/in"))
+        # what is written again after a restart takes the place of its batch
+        write = lambda df, n: df.withColumn("n", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{path}/out/batch={n}")
+        changes.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(jobs.STORE, usual)
+    return jobs.states(spark.read.parquet(f"{path}/out").drop("batch")).select("workspace", "job", "status", "attempts", "worker")

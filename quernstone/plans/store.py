@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.operators import answer, content, evaluate, review
-from quernstone.plans.registry import CONTEXT, UNITS, query, table, units
+from quernstone.plans.registry import CONTEXT, UNITS, query, stored, table, units
+from quernstone.sources import listing, snapshots
+from quernstone.sources.sinks import shared_dir
 
 STORE = """obj AS (SELECT o_custkey AS object_id, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS current_revision_id FROM orders GROUP BY o_custkey),
 rev AS (SELECT o_orderkey AS revision_id, o_custkey AS object_id, md5(CAST(o_orderkey AS VARCHAR)) AS sha256 FROM orders),
@@ -341,3 +345,33 @@ def answer_adequacy(spark: SparkSession, sf_dir: str) -> DataFrame:
         (n % 2 == 0).alias("partial"), (n % 3).alias("document_id"), (n % 17 == 0).alias("asserted"), (n % 19 == 0).alias("stale"),
     )
     return answer.adequacy(hits)
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderdate, o_orderstatus FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 100 OFFSET 200")
+def order_listing_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third page of a hundred of all orders, the newest first, each page behind the cursor of the one before."""
+
+    def make() -> listing.Listing:
+        own = listing.Listing(spark, f"{shared_dir(spark)}/quernstone-listing-{uuid.uuid4().hex}", ("-o_orderdate", "o_orderkey"))
+        listing.add(own, table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus"), per_file=2000)
+        return own
+
+    own, after = stored(spark, sf_dir, "orders by date", make), None
+    for _ in range(3):
+        found, after = listing.page(own, 100, after)
+    return found
+
+
+@query("SELECT doc_id AS unit_id, upper(lang) AS lang, CASE WHEN doc_id % 7 = 0 THEN 'v2' ELSE 'v1' END AS extraction FROM documents UNION ALL SELECT vec_id, label::VARCHAR, 'vector' FROM embeddings WHERE label % 2 = 0")
+def shadow_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units are extracted again and vectors of a new space come, both in the shadow; they become active together, and are read as of one version."""
+    root = f"{shared_dir(spark)}/quernstone-snapshots-{uuid.uuid4().hex}"
+    d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    vectors = e.select(F.col("vec_id").alias("unit_id"), F.col("label").cast("string").alias("lang"), F.lit("vector").alias("extraction"))
+    units_of = lambda kind: d.select(F.col("doc_id").alias("unit_id"), F.upper("lang").alias("lang"), kind.alias("extraction"))
+    old = {"units": snapshots.shadow(spark, root, "units", units_of(F.lit("v1"))), "vectors": snapshots.shadow(spark, root, "vectors", vectors)}
+    snapshots.activate(spark, root, {s: (None, n) for s, n in old.items()})
+    new = {"units": units_of(F.when(F.col("doc_id") % 7 == 0, "v2").otherwise("v1")), "vectors": vectors.where("cast(lang as int) % 2 = 0")}
+    snapshots.activate(spark, root, {s: (old[s], snapshots.shadow(spark, root, s, rows)) for s, rows in new.items()})
+    both = snapshots.read(spark, root, ["units", "vectors"])
+    return both["units"].unionByName(both["vectors"])
