@@ -51,11 +51,11 @@ def parsed(files: DataFrame) -> DataFrame:
 
 
 def xlsx_range(files: DataFrame, sheet: str, cells: str) -> DataFrame:
-    """path, row, col, value, type, formula of the cells of a range (like A1:C9) in a sheet of each workbook."""
+    """path, row, col, value, type, formula, merged (the range), hidden, filtered of the cells of a range (like A1:C9) in a sheet of each workbook."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = [(path, *c) for path, content in zip(frame["path"], frame["content"], strict=True) for c in parsers.xlsx_cells(bytes(content), sheet, cells)]
-            yield pd.DataFrame(rows, columns=["path", "row", "col", "value", "type", "formula"])
+            yield pd.DataFrame(rows, columns=["path", "row", "col", "value", "type", "formula", "merged", "hidden", "filtered"])
 
-    return files.select("path", "content").mapInPandas(run, "path string, row int, col int, value string, type string, formula string")
+    return files.select("path", "content").mapInPandas(run, "path string, row int, col int, value string, type string, formula string, merged string, hidden boolean, filtered boolean")

@@ -144,6 +144,55 @@ def _words(node: ET.Element) -> str:
     return "".join(out)
 
 
+def _child(node: ET.Element, *path: str) -> ET.Element | None:
+    for name in path:
+        node = next((x for x in node if _local(x.tag) == name), None)
+        if node is None:
+            return None
+    return node
+
+
+def _attr(node: ET.Element | None, name: str, default: str = "") -> str:
+    """An attribute in whatever namespace."""
+    return default if node is None else next((v for k, v in node.attrib.items() if _local(k) == name), default)
+
+
+def _rendered(grid: list[list[str]]) -> str:
+    width = max(map(len, grid), default=0)
+    return "\n".join(" | ".join([*row, *[""] * (width - len(row))]) for row in grid)
+
+
+def docx_grid(table: ET.Element) -> tuple[list[list[str]], int]:
+    """Cells by row and column of the grid, and how many tables lie within. What spans several places stands at its first, the others are blank.
+
+    A table in a cell is rendered in its cell, in brackets, its rows apart by semicolons.
+    """
+    grid, inner = [], 0
+
+    def words(node: ET.Element) -> str:
+        nonlocal inner
+        parts = []
+        for x in node:
+            if _local(x.tag) == "tbl":
+                own, more = docx_grid(x)
+                inner += 1 + more
+                parts.append("[" + "; ".join(" | ".join(r) for r in own) + "]")
+            elif _local(x.tag) in ("p", "sdt", "sdtContent"):
+                parts.append(" ".join((_words(x) if _local(x.tag) == "p" else words(x)).split()))
+        return " ".join(t for t in parts if t)
+
+    for row in (x for x in table if _local(x.tag) == "tr"):
+        before = int(_attr(_child(row, "trPr", "gridBefore"), "val", "0") or 0)
+        cells = [""] * before
+        for c in (x for x in row if _local(x.tag) == "tc"):
+            span = max(1, int(_attr(_child(c, "tcPr", "gridSpan"), "val", "1") or 1))
+            merge = _child(c, "tcPr", "vMerge")
+            goes_on = merge is not None and _attr(merge, "val", "continue") == "continue"
+            cells += ["" if goes_on else words(c), *[""] * (span - 1)]
+        grid.append(cells)
+    return grid, inner
+
+
 def docx_units(raw: bytes) -> Iterator[Unit]:
     z = archive(raw)
     names = set(z.namelist())
@@ -155,11 +204,8 @@ def docx_units(raw: bytes) -> Iterator[Unit]:
     for first, last, text in gathered(paragraphs):
         yield "paragraphs", None, text, {"type": "docx_paragraphs", "start": first + 1, "end": last + 1}
     for n, table in enumerate((x for x in blocks if _local(x.tag) == "tbl"), start=1):
-        rows = []
-        for row in (x for x in table if _local(x.tag) == "tr"):
-            cells = [" ".join(_words(c).split()) for c in row if _local(c.tag) == "tc"]
-            rows.append(" | ".join(cells))
-        yield "table", None, "\n".join(rows), {"type": "docx_table", "table": n}
+        grid, inner = docx_grid(table)
+        yield "table", None, _rendered(grid), {"type": "docx_table", "table": n, "rows": len(grid), "columns": max(map(len, grid), default=0), "nested": inner}
     for name in sorted(names):
         m = re.fullmatch(r"word/(header|footer|footnotes|endnotes)\d*\.xml", name)
         if m and (text := _words(_xml(z, name)).strip()):
@@ -167,14 +213,76 @@ def docx_units(raw: bytes) -> Iterator[Unit]:
             yield m[1], None, text, {"type": kind, "part": name}
 
 
+def pptx_grid(table: ET.Element) -> list[list[str]]:
+    """Cells by row and column; those that another one covers are blank."""
+    rows = [[c for c in row if _local(c.tag) == "tc"] for row in table if _local(row.tag) == "tr"]
+    return [["" if c.get("hMerge") in ("1", "true") or c.get("vMerge") in ("1", "true") else " ".join(_words(c).split()) for c in row] for row in rows]
+
+
+def chart_lines(root: ET.Element) -> list[str]:
+    """Title, and for each series its points by category, as the chart's cache has them."""
+    title = next((x for x in root.iter() if _local(x.tag) == "title"), None)
+    out = [t] if title is not None and (t := " ".join(_words(title).split()) or " ".join(v.text or "" for v in title.iter() if _local(v.tag) == "v")) else []
+
+    def points(node: ET.Element | None) -> dict[int, str]:
+        found = (x for x in node.iter() if _local(x.tag) == "pt") if node is not None else ()
+        return {int(p.get("idx", "0")): next((v.text or "" for v in p if _local(v.tag) == "v"), "") for p in found}
+
+    for s in (x for x in root.iter() if _local(x.tag) == "ser"):
+        kids = {_local(x.tag): x for x in s}
+        name, names = points(kids.get("tx")), points(kids.get("cat") if "cat" in kids else kids.get("xVal"))
+        values = points(kids.get("val") if "val" in kids else kids.get("yVal"))
+        # a category without a value is kept, and a value without a category
+        cells = [f"{names.get(i, i + 1)}={values.get(i, '')}" for i in sorted(names.keys() | values.keys())]
+        out.append(f"{name.get(0, 'series')}: " + ", ".join(cells))
+    return out
+
+
+def _related(z: zipfile.ZipFile, slide: str) -> list[tuple[str, str]]:
+    """(kind, part) of what a slide refers to."""
+    folder, _, name = slide.rpartition("/")
+    rels = f"{folder}/_rels/{name}.rels"
+    if rels not in z.namelist():
+        return []
+    out = []
+    for r in _xml(z, rels):
+        steps: list[str] = []
+        target = r.get("Target", "")
+        for part in (target.lstrip("/") if target.startswith("/") else f"{folder}/{target}").split("/"):
+            steps = steps[:-1] if part == ".." else [*steps, part]
+        out.append((r.get("Type", "").rpartition("/")[2], "/".join(steps)))
+    return out
+
+
+def _slide_parts(z: zipfile.ZipFile, n: int, name: str, root: ET.Element) -> Iterator[Unit]:
+    """Tables, charts, diagrams and comments of a slide."""
+    for k, table in enumerate((x for x in root.iter() if _local(x.tag) == "tbl"), start=1):
+        grid = pptx_grid(table)
+        yield "table", None, _rendered(grid), {"type": "pptx_table", "slide": n, "table": k, "rows": len(grid), "columns": max(map(len, grid), default=0)}
+    for kind, part in _related(z, name):
+        if part not in z.namelist():
+            continue
+        if kind == "chart" and (lines := chart_lines(_xml(z, part))):
+            yield "chart", None, "\n".join(lines), {"type": "pptx_chart", "slide": n, "part": part}
+        elif kind == "diagramData" and (lines := [t for p in _xml(z, part).iter() if _local(p.tag) == "p" and (t := _words(p).strip())]):
+            yield "diagram", None, "\n".join(lines), {"type": "pptx_diagram", "slide": n, "part": part}
+        elif kind == "comments":
+            said = (x for x in _xml(z, part).iter() if _local(x.tag) == "text" or _local(x.tag) == "txBody")
+            if lines := [t for x in said if (t := ((x.text or "") or _words(x)).strip())]:
+                yield "comment", None, "\n".join(lines), {"type": "pptx_comments", "slide": n, "part": part}
+
+
 def pptx_units(raw: bytes) -> Iterator[Unit]:
     z = archive(raw)
     for kind, pattern in (("slide", r"ppt/slides/slide(\d+)\.xml"), ("notes", r"ppt/notesSlides/notesSlide(\d+)\.xml")):
         for n, name in sorted((int(m[1]), x) for x in z.namelist() if (m := re.fullmatch(pattern, x))):
             root = _xml(z, name)
-            lines = [t for p in root.iter() if _local(p.tag) == "p" and (t := _words(p).strip())]
+            in_tables = {p for t in root.iter() if _local(t.tag) == "tbl" for p in t.iter()}
+            lines = [t for p in root.iter() if _local(p.tag) == "p" and p not in in_tables and (t := _words(p).strip())]
             if lines:
                 yield kind, lines[0] if kind == "slide" else None, "\n".join(lines), {"type": "pptx_shape" if kind == "slide" else "pptx_notes", "slide": n, "hidden": root.get("show") == "0"}
+            if kind == "slide":
+                yield from _slide_parts(z, n, name, root)
 
 
 def _sheets(z: zipfile.ZipFile) -> list[tuple[str, str, bool]]:
@@ -194,8 +302,28 @@ def _shared(z: zipfile.ZipFile) -> list[str]:
     return [_words(x) for x in _xml(z, "xl/sharedStrings.xml") if _local(x.tag) == "si"]
 
 
-def _cells(z: zipfile.ZipFile, part: str, shared: list[str]) -> Iterator[tuple[int, int, str | None, str, str | None]]:
-    for c in (x for x in _xml(z, part).iter() if _local(x.tag) == "c"):
+def corners(ref: str) -> tuple[int, int, int, int]:
+    """First row and column, last row and column of a range."""
+    a, _, b = ref.partition(":")
+    return *position(a), *position(b or a)
+
+
+def _cells(z: zipfile.ZipFile, part: str, shared: list[str]) -> Iterator[tuple]:
+    """(row, col, value, type, formula, merged, hidden, filtered): merged is the range that a cell is part of, filtered a row that a filter hides."""
+    root = _xml(z, part)
+    merged = [(corners(x.get("ref", "A1")), x.get("ref")) for x in root.iter() if _local(x.tag) == "mergeCell"]
+    filters = [corners(x.get("ref", "A1")) for x in root.iter() if _local(x.tag) == "autoFilter"]
+    rows_off = {int(x.get("r", "0")) for x in root.iter() if _local(x.tag) == "row" and x.get("hidden") in ("1", "true")}
+    cols_off = [(int(x.get("min", "0")), int(x.get("max", "0"))) for x in root.iter() if _local(x.tag) == "col" and x.get("hidden") in ("1", "true")]
+    for row, col, *rest in _values(root, shared):
+        within = next((ref for (r0, c0, r1, c1), ref in merged if r0 <= row <= r1 and c0 <= col <= c1), None)
+        # the filter's first row holds its names
+        filtered = row in rows_off and any(r0 < row <= r1 for r0, _, r1, _ in filters)
+        yield row, col, *rest, within, row in rows_off or any(a <= col <= b for a, b in cols_off), filtered
+
+
+def _values(root: ET.Element, shared: list[str]) -> Iterator[tuple[int, int, str | None, str, str | None]]:
+    for c in (x for x in root.iter() if _local(x.tag) == "c"):
         row, col = position(c.get("r", "A1"))
         kind = c.get("t", "n")
         kids = {_local(x.tag): x for x in c}
@@ -223,15 +351,14 @@ def xlsx_units(raw: bytes, most: int = 240_000) -> Iterator[Unit]:
     z = archive(raw)
     shared = _shared(z)
     for name, part, hidden in _sheets(z):
-        words = dict.fromkeys(v.strip() for _, _, v, kind, _ in _cells(z, part, shared) if kind == "string" and v and v.strip())
+        words = dict.fromkeys(v.strip() for _, _, v, kind, _ in _values(_xml(z, part), shared) if kind == "string" and v and v.strip())
         body = "\n".join(words)
         if body:
             yield "sheet", name, body[:most], {"type": "xlsx_sheet", "sheet": name, "hidden": hidden, "truncated": len(body) > most}
 
 
-def xlsx_cells(raw: bytes, sheet: str, cells: str) -> Iterator[tuple[int, int, str | None, str, str | None]]:
-    a, _, b = cells.partition(":")
-    (r0, c0), (r1, c1) = position(a), position(b or a)
+def xlsx_cells(raw: bytes, sheet: str, cells: str) -> Iterator[tuple]:
+    r0, c0, r1, c1 = corners(cells)
     z = archive(raw)
     for name, part, _ in _sheets(z):
         if name == sheet:

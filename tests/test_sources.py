@@ -156,3 +156,41 @@ def test_a_report_is_whole(spark, tmp_path):
     assert sinks.report(spark.range(3), str(tmp_path / "r")).count("\n") == 4
     with pytest.raises(ValueError):
         sinks.report(spark.range(30), str(tmp_path / "s"), most=20)
+
+
+def test_docx_tables_keep_their_grid():
+    cell = lambda t, pr="": f"<w:tc><w:tcPr>{pr}</w:tcPr><w:p><w:r><w:t>{t}</w:t></w:r></w:p></w:tc>"
+    inner = f"<w:tbl><w:tr>{cell('in1')}{cell('in2')}</w:tr></w:tbl>"
+    rows = [
+        cell("wide", '<w:gridSpan w:val="2"/>') + cell("c"),
+        cell("tall", '<w:vMerge w:val="restart"/>') + cell("b2") + cell("c2"),
+        cell("", "<w:vMerge/>") + f"<w:tc><w:p><w:t>own</w:t></w:p>{inner}</w:tc>" + cell("c3"),
+    ]
+    body = "".join(f"<w:tr>{r}</w:tr>" for r in rows) + f'<w:tr><w:trPr><w:gridBefore w:val="1"/></w:trPr>{cell("late")}</w:tr>'
+    (unit,) = parsers.docx_units(office({"word/document.xml": f"<w:document {W}><w:body><w:tbl>{body}</w:tbl></w:body></w:document>"}))
+    assert unit[2] == "wide |  | c\ntall | b2 | c2\n | own [in1 | in2] | c3\n | late | "
+    assert unit[3] == {"type": "docx_table", "table": 1, "rows": 4, "columns": 3, "nested": 1}
+
+
+def test_pptx_tables_charts_diagrams_and_comments():
+    a = 'xmlns:a="a" xmlns:p="p" xmlns:c="c"'
+    tc = lambda t, more="": f"<a:tc {more}><a:txBody><a:p><a:t>{t}</a:t></a:p></a:txBody></a:tc>"
+    table = f'<a:tbl><a:tr>{tc("head", "gridSpan='2'")}{tc("gone", "hMerge='1'")}</a:tr><a:tr>{tc("x")}{tc("y")}</a:tr></a:tbl>'
+    point = lambda i, v: f'<c:pt idx="{i}"><c:v>{v}</c:v></c:pt>'
+    chart = f"<c:chart {a}><c:title><a:t>Sales</a:t></c:title><c:ser><c:tx>{point(0, 'north')}</c:tx><c:cat>{point(0, 'Q1')}{point(2, 'Q3')}</c:cat><c:val>{point(0, 4)}{point(1, 5)}</c:val></c:ser></c:chart>"
+    rel = lambda i, kind, to: f'<Relationship Id="r{i}" Type="http://x/{kind}" Target="{to}"/>'
+    units = list(parsers.pptx_units(office({
+        "ppt/slides/slide1.xml": f"<p:sld {a}><a:p><a:t>Title</a:t></a:p>{table}</p:sld>",
+        "ppt/slides/_rels/slide1.xml.rels": "<Relationships>" + rel(1, "chart", "../charts/chart1.xml") + rel(2, "diagramData", "/ppt/diagrams/data1.xml") + rel(3, "comments", "../comments/comment1.xml") + rel(4, "chart", "../charts/none.xml") + "</Relationships>",
+        "ppt/charts/chart1.xml": chart, "ppt/diagrams/data1.xml": f"<d {a}><a:p><a:t>Step</a:t></a:p></d>", "ppt/comments/comment1.xml": f"<p:cmLst {a}><p:cm><p:text>Check this</p:text></p:cm></p:cmLst>",
+    })))
+    assert [(u[0], u[2]) for u in units] == [("slide", "Title"), ("table", "head | \nx | y"), ("chart", "Sales\nnorth: Q1=4, 2=5, Q3="), ("diagram", "Step"), ("comment", "Check this")]
+    assert units[1][3] == {"type": "pptx_table", "slide": 1, "table": 1, "rows": 2, "columns": 2}
+
+
+def test_xlsx_cells_tell_of_merged_hidden_and_filtered_places():
+    c = lambda ref, v: f'<c r="{ref}"><v>{v}</v></c>'
+    sheet = f'<worksheet><cols><col min="3" max="3" hidden="1"/></cols><sheetData><row r="1">{c("A1", 1)}{c("C1", 2)}</row><row r="2" hidden="1">{c("A2", 3)}</row><row r="9" hidden="true">{c("A9", 4)}</row></sheetData><autoFilter ref="A1:C5"/><mergeCells><mergeCell ref="A1:B1"/></mergeCells></worksheet>'
+    raw = office({"xl/workbook.xml": '<workbook xmlns:r="r"><sheets><sheet name="S" r:id="x1"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": '<R><Relationship Id="x1" Target="worksheets/sheet1.xml"/></R>', "xl/worksheets/sheet1.xml": sheet})
+    got = {x[:2]: x[5:] for x in parsers.xlsx_cells(raw, "S", "A1:D20")}
+    assert got == {(1, 1): ("A1:B1", False, False), (1, 3): (None, True, False), (2, 1): (None, True, True), (9, 1): (None, True, False)}
