@@ -72,10 +72,35 @@ def paths(edges: DataFrame, pairs: DataFrame, depth: int = 4, limit: int = 20) -
 
 
 def contradictions(edges: DataFrame) -> DataFrame:
-    """a_id, b_id (a_id < b_id): edges of one subject and predicate with other objects at an overlapping time."""
-    a, b = (edges.select("subject_id", "predicate", *[F.col(x).alias(f"{p}_{x}") for x in ("id", "object_id", "valid_from", "valid_to")]) for p in "ab")
-    same_time = overlap((F.col("a_valid_from"), F.col("a_valid_to")), (F.col("b_valid_from"), F.col("b_valid_to")))
-    return a.join(b, ["subject_id", "predicate"]).where((F.col("a_id") < F.col("b_id")) & (F.col("a_object_id") != F.col("b_object_id")) & same_time).select("a_id", "b_id")
+    """a_id, b_id (a_id < b_id): edges of one subject and predicate with other objects at an overlapping time.
+
+    Of two that overlap the later one starts while the other lasts: each edge meets those of its subject and predicate that start in the spans of time it
+    lasts through, a span being as long as edges last on average, so that edges lie in three spans or so and one with many others meets those of its time alone.
+    Edges without a start or an end are compared with all of their subject and predicate: nearly all of these they do overlap.
+    """
+    bounded = F.col("valid_from").isNotNull() & F.col("valid_to").isNotNull()
+    at = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
+    rows = edges.select("id", "subject_id", "predicate", "object_id", "valid_from", "valid_to")
+    inside = rows.where(bounded).withColumns({"_from": at("valid_from"), "_to": F.greatest(at("valid_from"), at("valid_to"))})
+    # one number
+    span = max(1, int(inside.agg(F.avg(F.col("_to") - F.col("_from"))).first()[0] or 0))
+
+    def named(df: DataFrame, letter: str) -> DataFrame:
+        return df.select("subject_id", "predicate", *[c for c in df.columns if c == "_span"], *[F.col(c).alias(f"{letter}_{c}") for c in ("id", "object_id", "valid_from", "valid_to")])
+
+    def of(pairs: DataFrame, once: Column) -> DataFrame:
+        same_time = overlap((F.col("a_valid_from"), F.col("a_valid_to")), (F.col("b_valid_from"), F.col("b_valid_to")))
+        found = pairs.where(once & (F.col("a_object_id") != F.col("b_object_id")) & same_time)
+        return found.select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id"))
+
+    first = F.floor(F.col("_from") / span)
+    lasting = inside.withColumn("_span", F.explode(F.sequence(first, F.floor(F.col("_to") / span))))
+    later = F.struct("b_valid_from", "b_id") > F.struct("a_valid_from", "a_id")
+    near = of(named(lasting, "a").join(named(inside.withColumn("_span", first), "b"), ["subject_id", "predicate", "_span"]), later)
+    open_, closed = rows.where(~bounded), rows.where(bounded)
+    far = of(named(open_, "a").join(named(closed, "b"), ["subject_id", "predicate"]), F.lit(True))
+    both = of(named(open_, "a").join(named(open_, "b"), ["subject_id", "predicate"]), F.col("a_id") < F.col("b_id"))
+    return near.unionByName(far).unionByName(both)
 
 
 def closure(types: DataFrame) -> DataFrame:

@@ -410,3 +410,18 @@ def test_search_modes(spark):
         Search(u).run(q, mode="vector")
     with pytest.raises(ValueError):
         Search(u).run(q, limit=0)
+
+
+def test_contradictions_against_all_pairs(spark):
+    rnd, day = random.Random(3), lambda n: None if n is None else dt.datetime(2024, 1, 1) + dt.timedelta(hours=n)
+    rows = []
+    for i in range(160):
+        start = rnd.choice([None, *range(0, 400, 7)] if i % 9 == 0 else range(0, 400, 7))
+        end = None if i % 11 == 0 else (start or 0) + rnd.choice([0, 1, 7, 30, 300, -5])
+        rows.append((i, f"s{i % 3}", "p", f"o{rnd.randrange(4)}", start, end))
+    before = lambda end, start: end is not None and start is not None and end <= start
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and a[3] != b[3] and not before(a[5], b[4]) and not before(b[5], a[4])}
+    df = spark.createDataFrame([(*r[:4], day(r[4]), day(r[5])) for r in rows], "id long, subject_id string, predicate string, object_id string, valid_from timestamp, valid_to timestamp")
+    got = [tuple(r) for r in graph.contradictions(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert graph.contradictions(df.where("false")).count() == 0
