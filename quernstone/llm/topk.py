@@ -10,7 +10,7 @@ How much a cell is spared depends on the data: vectors that lie in tight groups
 dimensions to all of them, as every cell's bound then covers every row. ``copies`` tells how many cells a row goes to.
 
 Defined cases: vectors that are null or have a null or non-finite component take no part, nor do rows without vec_id;
-shorter vectors count as padded with zeros, also where all are empty; a repeated row is a candidate each time, and asks once; a row that
+shorter vectors count as padded with zeros, also where all are empty; a repeated row is a candidate each time, and asks once; different vectors under one vec_id ask each, and their results are one list of the best, in which a row may stand twice; a row that
 shares the query's vec_id is its own; scores beyond the range of long are held at its ends; ties go to the smaller vec_id; fewer candidates
 than k give fewer rows; wide vectors go in smaller chunks; an empty table gives an empty result. Columns other than vec_id and embedding
 are not read, so their names can't clash.

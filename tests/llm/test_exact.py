@@ -382,3 +382,13 @@ def test_recall_of_the_operator(spark, n, edits):
     pairs = {(r["doc_id"], r["other_doc_id"]) for r in passages.passages(docs(spark, rows)).collect()}
     assert all(i // 2 == j // 2 for i, j in pairs)
     assert sum((2 * i, 2 * i + 1) in pairs for i in range(40)) >= 36
+
+
+def test_topk_and_mix_among_columns_of_the_same_names(spark):
+    e = spark.createDataFrame([(i, [float(i % 7), 1.0], 9, "x", 1.0, i) for i in range(120)], "vec_id long, embedding array<float>, query_id int, v string, score double, rank int")
+    bare = topk.topk(e.select("vec_id", "embedding")).collect()
+    assert sorted(map(tuple, topk.topk(e).collect())) == sorted(map(tuple, bare))
+    long = "w " * 200_000
+    d = spark.createDataFrame([(i, long if i == 0 else "a b c", f"s{i % 2}", 1, 2.0, "z") for i in range(40)], "doc_id long, text string, source string, size int, taken double, target string")
+    got = sorted(map(tuple, mixing.mix(d).select("doc_id", "size", "taken").collect()))
+    assert got == sorted(map(tuple, mixing.mix(d.select("doc_id", "text", "source")).select("doc_id", "size", "taken").collect())) and got[0][1] == 200_000

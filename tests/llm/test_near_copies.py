@@ -204,3 +204,12 @@ def test_pairs_at_the_limit_are_found(spark):
     got = {r["doc_id"]: r["root"] for r in near_copies.near_copies(spark.createDataFrame(rows, S)).collect()}
     assert sum(got[2 * i] == got[2 * i + 1] for i in range(300)) >= 298
     assert near_copies.near_copies(spark.createDataFrame([], S)).count() == 0
+
+
+def test_simhash_of_long_texts_among_columns_of_the_same_names(spark):
+    rnd = random.Random(12)
+    long = " ".join(f"w{rnd.randrange(3000)}" for _ in range(40_000))  # several pieces of shingles
+    rows = [(1, long, "x", 1, 2.0, "y"), (2, long + " z", "x", 1, 2.0, "y"), (3, "a b c d e", "x", 1, 2.0, "y"), (4, None, None, None, None, None)]
+    got = {r["doc_id"]: r for r in simhash(spark.createDataFrame(rows, "doc_id long, text string, fingerprint string, component_id int, fp double, node string")).collect()}
+    assert got[1]["fingerprint"] == f"{plain(long):016x}" and got[2]["component_id"] == 1 and got[3]["component_id"] == 3
+    assert got[4]["fingerprint"] == "0" * 16
