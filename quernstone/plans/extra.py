@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import fuzzy
 from quernstone.functions import text as T
-from quernstone.operators.postings import bm25
-from quernstone.plans.registry import asked, lexicon, query, table, units
+from quernstone.operators import lexical
+from quernstone.operators.postings import TERMS
+from quernstone.plans.registry import asked, query, table, units
 from quernstone.sources import parsers, sinks
 from quernstone.streaming import events, jobs
 
@@ -26,7 +27,7 @@ def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def fuzzy_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = asked(spark, sf_dir)
-    hits = bm25(lexicon(spark, sf_dir, units(spark, sf_dir), "all"), q, 10).join(units(spark, sf_dir).select("unit_id", F.col("body").alias("document")), "unit_id")
+    hits = lexical.bm25(units(spark, sf_dir), q, 10, most=TERMS).join(units(spark, sf_dir).select("unit_id", F.col("body").alias("document")), "unit_id")
     return fuzzy.fuzzy_rerank(hits.select("query_id", (F.col("rank") - 1).alias("index"), "document"), q)
 
 
