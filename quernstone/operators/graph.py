@@ -45,24 +45,34 @@ def neighbors(edges: DataFrame, start: DataFrame, direction: str = "both", limit
 def paths(edges: DataFrame, pairs: DataFrame, depth: int = 4, limit: int = 20) -> DataFrame:
     """start_id, end_id, nodes, edge_ids, depth, position: simple paths between each pair, the shortest first.
 
-    An unrolled breadth-first walk on edges made symmetric: each step joins the frontier on its last node, and paths that
-    have arrived go no further. A first walk back from the ends tells how far nodes are from them, so that no path is grown
-    that can't arrive in time, through whatever hubs.
+    An unrolled breadth-first walk on edges made symmetric: each step joins the frontier on its last node, and paths that have arrived go no further. A first walk
+    back from the ends tells how far nodes are from them by a next node, and by another one: a step is taken only if the end can be reached in time from where it
+    leads without turning back at once. So none goes from a hub to leaves that lead back to it alone.
     """
-    steps = kept(both_ways(edges))
+    steps = kept(both_ways(edges).where("here <> there"))
     wanted = pairs.select("start_id", "end_id").distinct()
-    near = wanted.select("end_id", F.col("end_id").alias("node")).distinct().withColumn("away", F.lit(0))
-    last = near
-    for n in range(1, depth):
-        last = last.join(steps, last["node"] == steps["here"]).select("end_id", F.col("there").alias("node")).distinct().withColumn("away", F.lit(n))
-        near = near.unionByName(last)
-    near = kept(near.groupBy("end_id", "node").agg(F.min("away").alias("away")))
+    links = kept(steps.select("here", "there").distinct())
+    ends = kept(wanted.select("end_id").distinct())
+    # (end_id, node, hop): walks of n steps to the end by way of hop, of which two are enough to know that one isn't where a step has come from
+    last = kept(links.join(ends, links["there"] == ends["end_id"]).select("end_id", F.col("here").alias("node"), F.col("there").alias("hop")))
+    away = last.withColumn("away", F.lit(1))
+    for n in range(2, depth):
+        by = last.groupBy("end_id", "node").agg(F.min("hop").alias("a"), F.max("hop").alias("b"))
+        longer = by.join(links, by["node"] == links["there"]).where((F.col("here") != F.col("end_id")) & ((F.col("a") != F.col("here")) | (F.col("b") != F.col("here"))))
+        last = kept(longer.select("end_id", F.col("here").alias("node"), F.col("there").alias("hop")))
+        away = away.unionByName(last.withColumn("away", F.lit(n)))
+    place = F.row_number().over(Window.partitionBy("end_id", "node").orderBy("away", "hop"))
+    two = away.groupBy("end_id", "node", "hop").agg(F.min("away").alias("away")).withColumn("place", place).where("place <= 2")
+    near = kept(two.groupBy("end_id", "node").agg(F.max(F.when(F.col("place") == 1, F.col("hop"))).alias("hop"), F.min("away").alias("away"), F.max(F.when(F.col("place") == 2, F.col("away"))).alias("other")))
+    # each step with what is left behind it at least
+    left = F.when(F.col("hop") == F.col("here"), F.col("other")).otherwise(F.col("away"))
+    onward = steps.join(near, steps["there"] == near["node"]).select("end_id", "here", "id", "there", left.alias("left")).where("here <> end_id and there <> end_id and left is not null")
+    arriving = steps.join(ends, steps["there"] == ends["end_id"]).select("end_id", "here", "id", "there", F.lit(0).alias("left"))
+    useful = kept(onward.unionByName(arriving))
     front = wanted.withColumn("nodes", F.array("start_id")).withColumn("edge_ids", F.array().cast("array<string>"))
     found = None
     for n in range(1, depth + 1):
-        last = front.withColumn("here", F.element_at("nodes", -1))
-        grown = last.join(steps, "here").where(~F.array_contains("nodes", F.col("there")))
-        grown = grown.join(near.where(F.col("away") <= depth - n).select("end_id", F.col("node").alias("there")), ["end_id", "there"])
+        grown = front.withColumn("here", F.element_at("nodes", -1)).join(useful.where(F.col("left") <= depth - n), ["end_id", "here"]).where(~F.array_contains("nodes", F.col("there")))
         front = grown.select("start_id", "end_id", F.array_append("nodes", F.col("there")).alias("nodes"), F.array_append("edge_ids", F.col("id").cast("string")).alias("edge_ids"))
         arrived = front.where(F.element_at("nodes", -1) == F.col("end_id")).withColumn("depth", F.lit(n))
         found = arrived if found is None else found.unionByName(arrived)
