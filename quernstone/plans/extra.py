@@ -18,6 +18,10 @@ from quernstone.sources import parsers, sinks
 from quernstone.streaming import events, jobs
 
 
+#: Commands in a batch of the job queue, about.
+COMMANDS = 1_000_000
+
+
 @query()
 def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
@@ -71,13 +75,20 @@ def live_job_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("ws"), (F.col("user_id") % 3).cast("string")).alias("workspace"), jobs.shard_of(job, 4).alias("shard"), F.col("ts").cast("timestamp").alias("at"), k.alias("seq"), op.alias("op"), job.alias("job"),
         F.lit("worker").alias("worker"), (k % 3).cast("int").alias("priority"), F.when(op == "complete", F.lit("{}")).otherwise(F.lit("text")).alias("payload"), F.lit(3).alias("max_attempts"),
     )
-    commands.write.parquet(f"{path}/in")
+    # a file for each slice of time, one after another: a batch of the stream holds COMMANDS or so, and none of an earlier slice comes late
+    second = F.unix_seconds("at")
+    slices = -(-commands.count() // COMMANDS)
+    bounds = commands.agg(F.percentile_approx(second, [n / slices for n in range(1, slices)], 10_000)).first()[0] if slices > 1 else []
+    place = sum((F.when(second >= b, 1).otherwise(0) for b in sorted(set(bounds))), F.lit(0))
+    commands.withColumn("slice", place).write.partitionBy("slice").parquet(f"{path}/slices")
+    for n in range(len(set(bounds)) + 1):
+        spark.read.parquet(f"{path}/slices").where(F.col("slice") == n).select(commands.columns).coalesce(1).write.mode("append").parquet(f"{path}/in")
     usual = spark.conf.get(jobs.STORE)
     jobs.with_state_store(spark)
     try:
-        changes = jobs.queue(spark.readStream.schema(commands.schema).parquet(f"{path}/in"))
+        changes = jobs.queue(spark.readStream.schema(commands.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"))
         # what is written again after a restart takes the place of its batch
-        write = lambda df, n: df.withColumn("n", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{path}/out/batch={n}")
+        write = lambda df, n: df.withColumn("n", F.lit(n << 50) + F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{path}/out/batch={n}")
         changes.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(jobs.STORE, usual)
