@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,12 +37,7 @@ def fuzzy_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 def overlap_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of 4000 characters with an overlap of 400."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(i, n, start, piece) for i, text in zip(frame["doc_id"], frame["text"], strict=True) for n, (start, piece) in enumerate(parsers.chunks(text or ""))]
-            yield pd.DataFrame(rows, columns=["doc_id", "ordinal", "start", "body"])
-
-    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, ordinal int, start int, body string")
+    return parsers.chunked(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
