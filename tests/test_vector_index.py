@@ -73,3 +73,27 @@ def test_recall_of_the_query(spark, sf):
 
     exact = vector.cosine_topk(_sizes(spark, sf), _halves(spark, sf), 20)
     assert recall(catalog.QUERIES["vector_index_topk"](spark, sf), exact) >= 0.9
+
+
+def test_what_a_batch_gives_out_has_a_bound(spark, monkeypatch):
+    """All queries' products with a batch lay in Python at once, and a set beyond the bound met rows one by one in expressions."""
+    from quernstone.operators import vector
+
+    e = spark.range(3000).selectExpr("id AS vec_id", "transform(sequence(1, 8), i -> sin(cast(id * i AS double))) AS embedding").coalesce(1)
+    q = e.where("vec_id % 7 = 0").selectExpr("vec_id AS query_id", "embedding AS q")
+    want = sorted(map(tuple, vector.cosine_topk(e, q, 4).collect()))
+    monkeypatch.setattr(vector, "ASKED", 50)
+    assert sorted(map(tuple, vector.cosine_topk(e, q, 4).collect())) == want
+    monkeypatch.setattr(vector, "BOUND", 100)
+    plan = vector.cosine_topk(e, q, 4)
+    assert sorted(map(tuple, plan.collect())) == want and "zip_with" not in plan._jdf.queryExecution().toString()
+
+
+def test_chunks_go_out_a_few_at_a_time(spark, monkeypatch):
+    from quernstone.sources import parsers
+
+    monkeypatch.setattr(parsers, "PIECES", 3)
+    texts = ["", None, "a" * 9000, "line\n" * 3000, "b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    want = [(i, n, start, piece) for i, t in enumerate(texts) for n, (start, piece) in enumerate(parsers.chunks(t or ""))]
+    assert sorted(map(tuple, parsers.chunked(df, "doc_id").collect())) == want
