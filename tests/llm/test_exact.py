@@ -282,6 +282,26 @@ def test_passages_of_frequent_parts_are_found(spark):
     assert got == set(range(100, 120))
 
 
+def test_passages_of_one_word_over_and_over_are_found(spark):
+    rnd = random.Random(11)
+    rows = [(10 * w + i, " ".join(words(rnd, rnd.randint(5, 30), 10**6) + [f"w{w}"] * (60 + 7 * i) + words(rnd, 30, 10**6)), "s") for w in range(12) for i in range(3)]
+    # a line of seven words as well
+    line = words(rnd, 7, 10**6)
+    rows += [(500 + i, " ".join(words(rnd, 20, 10**6) + line * (9 + i)), "s") for i in range(2)]
+    got = {(r["doc_id"], r["other_doc_id"]) for r in passages.passages(docs(spark, rows)).collect()}
+    assert got == {(i, j) for i, _, _ in rows for j, _, _ in rows if i != j and i // 10 == j // 10}
+
+
+def test_all_pairs_of_a_passage_in_few_documents_are_given(spark):
+    rnd = random.Random(12)
+    shared = words(rnd, 60, 10**6)
+    rows = [(i, " ".join(words(rnd, 30, 10**6) + shared + words(rnd, 30, 10**6)), "s") for i in range(9)]
+    # others that have a part of it stand between them
+    rows += [(100 + i, " ".join(words(rnd, 40, 10**6) + shared[10 * i : 10 * i + 10]), "s") for i in range(6)]
+    got = {(r["doc_id"], r["other_doc_id"]) for r in passages.passages(docs(spark, rows)).collect()}
+    assert got == {(i, j) for i in range(9) for j in range(9) if i != j}
+
+
 def test_very_common_seeds_go_to_buckets(spark, monkeypatch):
     monkeypatch.setattr(passages, "BUCKET", 10)
     monkeypatch.setattr(passages, "RANGES", 3)
