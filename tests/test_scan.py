@@ -7,6 +7,7 @@ import pytest
 
 from quernstone.functions import text as T
 from quernstone.operators import lexical, postings, scan
+from quernstone.plans import search
 
 WORDS = ["the", "a", "an", "cat", "cats", "concat", "dog.", "Dog", "x1", "한국어", "가나다라", "the-cat", "zz", "élan"]
 
@@ -69,3 +70,8 @@ def test_gate_in_one_pass_equals_the_indexes(spark, tables):
     u = u.where("unit_id < 150").selectExpr("unit_id", "concat('doc-', unit_id) AS identifier", "substr(body, 1, 12) AS title", "body")
     want = rows(lexical.gated_topk(u, q, 9, stored=lexical.gate(u)))
     assert rows(lexical.gated_topk(u, q, 9)) == want and {90, 91} <= {r[0] for r in want}
+
+
+def test_reranking_reads_the_texts_of_hits_alone(spark, sf):
+    out = search.rerank_head_tail(spark, sf)
+    assert out.count() and not any("documents.parquet" in f for f in out.inputFiles())
