@@ -2,12 +2,14 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
 from quernstone.operators import lexical, postings, scan
-from quernstone.plans import search
+from quernstone.plans import registry, search
 
 WORDS = ["the", "a", "an", "cat", "cats", "concat", "dog.", "Dog", "x1", "한국어", "가나다라", "the-cat", "zz", "élan"]
 
@@ -37,6 +39,42 @@ def test_bm25_in_one_pass_equals_the_index(spark, tables, tmp_path, monkeypatch,
         assert rows(lexical.bm25(u, q, k, most=most)) == rows(postings.bm25(index, q, k, most))
 
 
+@pytest.mark.parametrize("names, columns", [(1 << 17, 4096), (25, 3)])
+def test_blocks_of_terms_lose_none(spark, tables, tmp_path, monkeypatch, names, columns):
+    u, q = tables
+    index = postings.build(postings.Index(spark, str(tmp_path / "index"), T.bm25_tokens), u)
+    want = rows(postings.bm25(index, q, 7, 1000))
+    monkeypatch.setattr(scan, "NAMES", names)
+    monkeypatch.setattr(lexical, "COLUMNS", columns)
+    assert rows(lexical.bm25(u, q, 7)) == want
+    asked = q.select("query_id", F.array_distinct(T.bm25_tokens("query")).alias("terms"))
+    own = list(scan.blocks(asked))
+    assert sorted(r["query_id"] for b in own for r in b) == list(range(32)) and (len(own) > 3) == (names == 25)
+
+
+@pytest.fixture
+def long_items(spark, tmp_path):
+    """A folder of items of 100 terms and more; each document has the shortest of them alone, or one of the others too."""
+    items = [(i, " ".join([f"z{i}"] + [f"longer{i}x{n}" for n in range(100 + i)])) for i in range(3)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    d = [(i, f"z{i % 3}" + (f" longer{i % 3}x{i}" if i % 2 else "") + " other" * (i % 5), "en", "src1", 9) for i in range(1, 31)]
+    spark.createDataFrame(d, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path)
+
+
+def by_sql(folder, name):
+    with duckdb.connect() as con:
+        for t in ("documents", "benchmark"):
+            con.sql(f"create view {t} as from '{folder}/{t}.parquet/*.parquet'")
+        return sorted(con.sql(registry.ORACLES[name]).fetchall())
+
+
+def test_hits_of_all_terms_are_counted(spark, long_items):
+    got = rows(search.bm25_batch_queries(spark, long_items))
+    assert [r[:2] for r in got] == [(0, 10), (1, 10), (2, 10)]
+    assert got == by_sql(long_items, "bm25_batch_queries")
+
+
 def test_what_leaves_a_batch_doesnt_grow_with_frequent_words(spark, tables):
     u, q = tables
     asked = scan.terms_of([["the"], ["the", "cat"]])
