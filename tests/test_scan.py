@@ -75,6 +75,13 @@ def test_hits_of_all_terms_are_counted(spark, long_items):
     assert got == by_sql(long_items, "bm25_batch_queries")
 
 
+def test_best_units_are_found_by_all_terms(spark, long_items):
+    got = rows(search.bm25_topk(spark, long_items))
+    # what the context sees: English units of two of the three tiers, and every tenth
+    assert {q: sum(r[0] == q for r in got) for q in range(3)} == {0: 10, 1: 10, 2: 1}
+    assert got == by_sql(long_items, "bm25_topk")
+
+
 def test_what_leaves_a_batch_doesnt_grow_with_frequent_words(spark, tables):
     u, q = tables
     asked = scan.terms_of([["the"], ["the", "cat"]])
