@@ -347,6 +347,25 @@ def test_fuzzy(spark):
     assert fuzzy.fuzzy_rerank(c, q).orderBy("rank").first()["index"] == 1
 
 
+def test_fuzzy_reads_whole_texts(spark, monkeypatch):
+    filler = "filler " * 3000
+    assert fuzzy.similarity("annual report", filler + "report annual") == 1.0
+    c = spark.createDataFrame([(1, 0, filler), (1, 1, filler + "annual report")], "query_id int, index int, document string")
+    q = spark.createDataFrame([(1, "annual report")], "query_id int, query string")
+    assert fuzzy.fuzzy_rerank(c, q).orderBy("rank").first()["index"] == 1
+    # against the plain table of prefixes, with any number of places at a time
+    rnd = random.Random(5)
+    for bits in (1, 3, 8, 1 << 14):
+        monkeypatch.setattr(fuzzy, "BITS", bits)
+        for _ in range(50):
+            a, b = ("".join(rnd.choice("ab 가😀") for _ in range(rnd.randrange(25))) for _ in range(2))
+            best = {}
+            for i, x in enumerate(a):
+                for j, y in enumerate(b):
+                    best[i, j] = best.get((i - 1, j - 1), 0) + 1 if x == y else max(best.get((i - 1, j), 0), best.get((i, j - 1), 0))
+            assert fuzzy.common(a, b) == best.get((len(a) - 1, len(b) - 1), 0)
+
+
 def test_latest_with_ties(spark):
     rows = [(1, dt.datetime(2024, 1, 1), 5, "a"), (1, dt.datetime(2024, 1, 1), 6, "b"), (2, None, 1, "c")]
     got = {r[0]: r[1] for r in ingest.latest(spark.createDataFrame(rows, "k int, at timestamp, tie int, v string"), "k", "at", "tie", "v").collect()}

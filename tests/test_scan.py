@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
 from quernstone.operators import lexical, postings, scan
-from quernstone.plans import registry, search
+from quernstone.plans import extra, registry, search
 
 WORDS = ["the", "a", "an", "cat", "cats", "concat", "dog.", "Dog", "x1", "한국어", "가나다라", "the-cat", "zz", "élan"]
 
@@ -82,6 +82,11 @@ def test_best_units_are_found_by_all_terms(spark, long_items):
     assert got == by_sql(long_items, "bm25_topk")
 
 
+def test_candidates_to_rerank_are_found_by_all_terms(spark, long_items):
+    got = extra.fuzzy_rerank(spark, long_items).groupBy("query_id").count().collect()
+    assert sorted(map(tuple, got)) == [(0, 10), (1, 10), (2, 10)]
+
+
 def test_what_leaves_a_batch_doesnt_grow_with_frequent_words(spark, tables):
     u, q = tables
     asked = scan.terms_of([["the"], ["the", "cat"]])
